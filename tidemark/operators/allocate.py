@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.errors import CurveError
 from tidemark.functions import curves as C
@@ -61,43 +62,49 @@ def spend_bounds(curves: DataFrame, constraints: DataFrame | None = None,
     return out.drop("_min", "_max")
 
 
-def _slope(x, v, k, n):
-    with np.errstate(all="ignore"):
-        s = 1.0 / (1.0 + (x / k) ** -n)
-        return np.where(x > 0, v * n * s * (1.0 - s) / x, np.where(n < 1, np.inf, np.where(n > 1, 0.0, v / k)))
+def _best_spend_udf():
+    """Vectorised choice of one campaign at one price.
 
+    Helpers are nested so that the function travels to the executors by value.
+    """
+    bisections = BISECTIONS
 
-def _revenue(x, v, k, n):
-    with np.errstate(all="ignore"):
-        return np.where(x > 0, v / (1.0 + (x / k) ** -n), 0.0)
+    def best_spend(v: pd.Series, k: pd.Series, n: pd.Series, low: pd.Series, high: pd.Series,
+                   price: pd.Series) -> pd.Series:
+        v, k, n, low, high, price = (c.to_numpy(float) for c in (v, k, n, low, high, price))
+        with np.errstate(all="ignore"):
+            def share(x):
+                return 1.0 / (1.0 + (x / k) ** -n)
 
+            def revenue(x):
+                return np.where(x > 0, v * share(x), 0.0)
 
-def _inflection(k, n):
-    with np.errstate(all="ignore"):
-        return np.where(n > 1, k * np.maximum((n - 1.0) / (n + 1.0), 0.0) ** (1.0 / n), 0.0)
+            def slope(x):
+                at_zero = np.where(n < 1, np.inf, np.where(n > 1, 0.0, v / k))
+                return np.where(x > 0, v * n * share(x) * (1.0 - share(x)) / x, at_zero)
 
+            # Right of the inflection the slope falls, so the price is met at most once there.
+            knee = np.where(n > 1, k * np.maximum((n - 1.0) / (n + 1.0), 0.0) ** (1.0 / n), 0.0)
+            start = np.clip(knee, low, high)
+            left, right = start.copy(), high.copy()
+            for _ in range(bisections):
+                mid = 0.5 * (left + right)
+                rising = slope(mid) > price
+                left, right = np.where(rising, mid, left), np.where(rising, right, mid)
+            top = np.where(slope(high) >= price, high, np.where(slope(start) <= price, start, 0.5 * (left + right)))
+            gain = revenue(top) - revenue(low) - price * (top - low)
+            return pd.Series(np.where(gain > 0, top, low))
 
-def _choose(v, k, n, low, high, price):
-    """Spend in [low, high] maximising revenue - price * spend, elementwise."""
-    a = np.clip(_inflection(k, n), low, high)
-    left, right = a.copy(), high.copy()
-    for _ in range(BISECTIONS):
-        mid = 0.5 * (left + right)
-        rising = _slope(mid, v, k, n) > price
-        left, right = np.where(rising, mid, left), np.where(rising, right, mid)
-    top = np.where(_slope(high, v, k, n) >= price, high, np.where(_slope(a, v, k, n) <= price, a, 0.5 * (left + right)))
-    gain = _revenue(top, v, k, n) - price * top - (_revenue(low, v, k, n) - price * low)
-    return np.where(gain > 0, top, low)
+    return F.pandas_udf(best_spend, DoubleType())
 
 
-@F.pandas_udf("double")
-def _best_spend(v: pd.Series, k: pd.Series, n: pd.Series, low: pd.Series, high: pd.Series,
-                price: pd.Series) -> pd.Series:
-    return pd.Series(_choose(*(c.to_numpy(float) for c in (v, k, n, low, high, price))))
+def _priced(price: Column) -> Column:
+    return _best_spend_udf()("v_max", "k", "n", "low", "high", price)
 
 
-def _priced(price: Column) -> Column:
-    return _best_spend("v_max", "k", "n", "low", "high", price)
+def _knee(k: float, n: float) -> float:
+    """Inflection point of an S-shaped curve, 0 for a concave one."""
+    return k * ((n - 1.0) / (n + 1.0)) ** (1.0 / n) if n > 1 else 0.0
 
 
 def _totals(rows: DataFrame, prices: list[float]) -> dict[float, float]:
@@ -184,7 +191,7 @@ def optimise(rows: DataFrame, budget: float) -> tuple[DataFrame, int]:
     if split is None:
         return best, rounds
     options = [best]
-    knee = min(max(float(_inflection(np.float64(split["k"]), np.float64(split["n"]))), split["low"]), split["high"])
+    knee = min(max(_knee(split["k"], split["n"]), split["low"]), split["high"])
     for low, high in ((knee, split["high"]), (split["low"], split["_dn"])):
         bounded = _with_bounds(rows, split["campaign_id"], low, high)
         reach = bounded.agg(F.sum("low"), F.sum("high")).first()

@@ -38,9 +38,12 @@ def context_summary(fc: DataFrame, curves: DataFrame, allocation: DataFrame | No
     totals = recent.agg(total("p50").alias("total_p50"), total("p10").alias("total_p10"),
                         total("p90").alias("total_p90"))
     top = top_campaigns(fc, TOP_CAMPAIGNS, days)
-    top_list = top.agg(F.sort_array(F.collect_list(
+    best_first = F.sort_array(F.collect_list(
         F.struct("revenue", F.col("campaign_id").cast("string").alias("campaign_id"), "share_pct")
-    ), asc=False)).scalar()
+    ), asc=False)
+    top_list = top.agg(best_first.alias("l")).select(F.transform("l", lambda t: F.struct(
+        t["campaign_id"].alias("campaign_id"), t["revenue"].alias("revenue"), t["share_pct"].alias("share_pct")
+    ))).scalar()
     low = F.col("avg_daily_spend") < F.lit(LOW_UTILIZATION) * (spend / F.greatest(n, F.lit(1)))
     columns = {
         "revenue_wow_change_pct": change.select(ratio0(F.col("recent") - F.col("prior"), "prior", 100.0)).scalar(),
@@ -49,9 +52,7 @@ def context_summary(fc: DataFrame, curves: DataFrame, allocation: DataFrame | No
         .select(ratio0("r", "s")).scalar(),
         "revenue_by_platform": _platform_map(recent, "p50"),
         "spend_by_platform": _platform_map(curves, "avg_daily_spend"),
-        "top_campaigns": F.transform(top_list, lambda t: F.struct(
-            t["campaign_id"].alias("campaign_id"), t["revenue"].alias("revenue"),
-            t["share_pct"].alias("share_pct"))),
+        "top_campaigns": top_list,
         "saturated": _first_ids(curves, F.col("saturation_score") >= SATURATED),
         "has_headroom": _first_ids(curves, F.col("saturation_score") < HEADROOM),
         "low_utilization": _first_ids(curves, low),

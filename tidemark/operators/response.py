@@ -1,16 +1,20 @@
 """Spend-response curves: Hill fit by variable projection, operating point, diagnostics.
 
-For a fixed (k, n) the best ceiling v is a ratio of two sums, so the fit is a grid over two
-parameters and one aggregation.  Rows are shuffled by campaign once; statistics, every grid
-round and the winners are computed on that partitioning, in generated JVM code.  The grid stays
-inside the task that made it: candidate sums combine per (campaign, candidate) before leaving.
+For a fixed (k, n) the best ceiling v is a ratio of two sums, so the fit is a search over two
+parameters only: a coarse log grid, then shrinking grids around the incumbent.  Statistics, fallback
+and diagnostics are JVM aggregates.  The search itself evaluates hundreds of candidates per row,
+which Spark expressions would do one exploded row at a time; it runs as vectorised numpy per
+campaign instead, after ONE shuffle by campaign for all rounds.  A campaign's rows are its days, so
+a group is bounded by the length of the history (3 653 rows per decade), not by the data volume.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import CurveError
@@ -35,15 +39,7 @@ REASON_FLAT = "linear fallback: spend variance too low"
 
 COARSE_K = [round(10 ** (-3 + i * 5.301 / 11), 6) for i in range(11)] + [K_BOUNDS[1]]
 COARSE_N = [0.3, 0.5, 0.75, 1.0, 1.35, 1.8, 2.4, 3.2, 4.4, 6.0]
-REFINE_STEPS = 5
-
-
-def _grid(k_values, n_values) -> Column:
-    """Array of candidate (relative k, n) structs."""
-    return F.array(*[
-        F.struct(F.lit(float(k)).alias("kr"), F.lit(float(n)).alias("n"))
-        for k in k_values for n in n_values
-    ])
+REFINE_STEPS, REFINEMENTS, SHRINK = 7, 10, 0.5
 
 
 def _fit_rows(df: DataFrame, roles: Roles) -> DataFrame:
@@ -70,70 +66,59 @@ def fit_statistics(df: DataFrame, roles: Roles = PANEL) -> DataFrame:
         (F.var_pop(r) * F.count(r)).alias("ss_total"),
         F.sum("s").alias("sum_spend"),
         F.sum("r").alias("sum_revenue"),
-    ).withColumn(
-        "fittable",
-        (F.col("n_points") >= MIN_POINTS)
-        & (F.col("spend_std") >= F.col("spend_mean") * MIN_SPEND_CV),
     )
 
 
-def _round(rows: DataFrame, around: DataFrame, grid: Column) -> DataFrame:
-    """One grid round: the best (k, n, v) per campaign among the candidates of ``grid``.
+def _grid_search(id_name: str, refinements: int):
+    """Best (relative k, n, v) of one campaign; nothing for campaigns that cannot be fitted.
 
-    ``around`` carries max_spend / max_revenue (and the incumbent, for refinements).
+    Everything it needs is bound here, so that it travels to the executors by value.
     """
-    cand = (
-        rows.join(around, "campaign_id")
-        .select("campaign_id", "s", "r", "max_spend", "max_revenue", F.explode(grid).alias("g"))
-        .withColumn("h", 1.0 / (1.0 + F.pow(F.col("s") / (F.col("g.kr") * F.col("max_spend")), -F.col("g.n"))))
-    )
-    sums = cand.groupBy("campaign_id", F.col("g.kr").alias("kr"), F.col("g.n").alias("n")).agg(
-        F.max("max_revenue").alias("max_revenue"),
-        F.sum(F.col("h") * F.col("h")).alias("hh"),
-        F.sum(F.col("r") * F.col("h")).alias("rh"),
-        F.sum(F.col("r") * F.col("r")).alias("rr"),
-    )
-    free_v = F.try_divide(F.col("rh"), F.col("hh"))
-    v = F.least(
-        F.greatest(F.coalesce(free_v, F.lit(0.0)), F.col("max_revenue") * V_BOUNDS[0]),
-        F.col("max_revenue") * V_BOUNDS[1],
-    )
-    scored = sums.withColumn("v_max", v).withColumn(
-        "sse", F.col("rr") - 2.0 * F.col("v_max") * F.col("rh") + F.col("v_max") * F.col("v_max") * F.col("hh")
-    )
-    best = F.min_by(F.struct("kr", "n", "v_max", "sse"), F.struct("sse", "kr", "n"))
-    return scored.groupBy("campaign_id").agg(best.alias("b")).select("campaign_id", "b.*")
-
-
-def _refinement(span_k: float, span_n: float) -> Column:
-    """Candidates around an incumbent (kr, n): log steps, clipped to the parameter bounds."""
-    half = REFINE_STEPS // 2
-    steps = [i / half for i in range(-half, half + 1)]
-
-    def clip(c, bounds):
-        return F.least(F.greatest(c, F.lit(bounds[0])), F.lit(bounds[1]))
-
-    return F.array_distinct(F.array(*[
-        F.struct(
-            clip(F.col("kr") * math.exp(a * span_k), K_BOUNDS).alias("kr"),
-            clip(F.col("n") * math.exp(b * span_n), N_BOUNDS).alias("n"),
-        )
-        for a in steps for b in steps
-    ]))
-
-
-def fit_hill(df: DataFrame, roles: Roles = PANEL, refinements: int = 4) -> DataFrame:
+    k_grid, n_grid = np.repeat(COARSE_K, len(COARSE_N)), np.tile(COARSE_N, len(COARSE_K))
+    k_step, n_step = math.log(K_BOUNDS[1] / K_BOUNDS[0]) / (len(COARSE_K) - 1), 0.3
+    (k_lo, k_hi), (n_lo, n_hi), (v_lo, v_hi) = K_BOUNDS, N_BOUNDS, V_BOUNDS
+    min_points, min_cv, shrink = MIN_POINTS, MIN_SPEND_CV, SHRINK
+    offsets = np.linspace(-1.0, 1.0, REFINE_STEPS)
+    around_k, around_n = np.repeat(offsets, REFINE_STEPS), np.tile(offsets, REFINE_STEPS)
+
+    def best_of(s, r, top, kr, n):
+        h = 1.0 / (1.0 + (s[:, None] / (kr * s.max())) ** -n)
+        hh, rh = (h * h).sum(axis=0), r @ h
+        v = np.clip(np.divide(rh, hh, out=np.zeros_like(rh), where=hh > 0), v_lo * top, v_hi * top)
+        sse = (r * r).sum() - 2.0 * v * rh + v * v * hh
+        i = int(np.argmin(sse))  # candidates ascend in (k, n): ties go to the smallest
+        return kr[i], n[i], v[i], sse[i]
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        s, r = rows["s"].to_numpy(float), rows["r"].to_numpy(float)
+        if len(s) < min_points or s.std() < s.mean() * min_cv:
+            return pd.DataFrame({id_name: [], "kr": [], "n": [], "v_max": [], "sse": []})
+        top = max(r.max(), 1.0)
+        with np.errstate(over="ignore", divide="ignore"):
+            best = best_of(s, r, top, k_grid, n_grid)
+            dk, dn = k_step, n_step
+            for _ in range(refinements):
+                best = best_of(
+                    s, r, top,
+                    np.clip(best[0] * np.exp(around_k * dk), k_lo, k_hi),
+                    np.clip(best[1] * np.exp(around_n * dn), n_lo, n_hi),
+                )
+                dk, dn = dk * shrink, dn * shrink
+        return pd.DataFrame({id_name: [rows[id_name].iloc[0]], "kr": [best[0]], "n": [best[1]],
+                             "v_max": [best[2]], "sse": [best[3]]})
+
+    return search
+
+
+def fit_hill(df: DataFrame, roles: Roles = PANEL, refinements: int = REFINEMENTS) -> DataFrame:
     """Curve parameters and diagnostics per campaign; ``refinements=0`` is the fixed grid alone."""
     rows = _fit_rows(df, roles).filter("s > 0")
-    stats = fit_statistics(df, roles)
-    frame = stats.filter("fittable").select("campaign_id", "max_spend", "max_revenue")
-    best = _round(rows, frame, _grid(COARSE_K, COARSE_N))
-    span_k, span_n = 5.301 * math.log(10) / 11, 0.3
-    for _ in range(refinements):
-        around = frame.join(best.select("campaign_id", "kr", "n"), "campaign_id")
-        best = _round(rows, around, _refinement(span_k, span_n))
-        span_k, span_n = span_k * 0.45, span_n * 0.45
-    return finish_fit(stats, best)
+    id_type = rows.schema["campaign_id"].dataType.simpleString()
+    best = rows.groupBy("campaign_id").applyInPandas(
+        _grid_search("campaign_id", refinements),
+        f"campaign_id {id_type}, kr double, n double, v_max double, sse double",
+    )
+    return finish_fit(fit_statistics(df, roles), best)
 
 
 def finish_fit(stats: DataFrame, best: DataFrame) -> DataFrame:
@@ -188,7 +173,7 @@ def operating_points(df: DataFrame, window: int = OPERATING_ROWS, roles: Roles =
     )
 
 
-def response_curves(df: DataFrame, roles: Roles = PANEL, refinements: int = 4) -> DataFrame:
+def response_curves(df: DataFrame, roles: Roles = PANEL, refinements: int = REFINEMENTS) -> DataFrame:
     """One row per campaign: curve, diagnostics and current operating point."""
     require_columns(df, [roles.entity, roles.platform, roles.date, roles.spend, roles.revenue])
     if roles.name not in df.columns:
