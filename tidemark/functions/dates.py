@@ -102,15 +102,11 @@ def days_since(date: Column | str, event) -> Column:
     return F.datediff(date, latest)
 
 
-def intensity_score(date: Column | str, to_bf=None, since_bf=None) -> Column:
+def blend_intensity(date: Column, from_bf: Column, from_prime: Column) -> Column:
     """Holiday intensity in [0, 1]: the strongest of four effects, 4 decimals half-even."""
-    date = col(date)
-    to_bf = days_until(date, black_friday) if to_bf is None else col(to_bf)
-    since_bf = days_since(date, black_friday) if since_bf is None else col(since_bf)
-    from_prime = F.least(days_until(date, prime_day), days_since(date, prime_day))
     month, day = F.month(date), F.dayofmonth(date)
     raw = F.greatest(
-        F.exp(-F.least(to_bf, since_bf) / F.lit(BFCM_DECAY_DAYS)),
+        F.exp(-from_bf / F.lit(BFCM_DECAY_DAYS)),
         F.lit(PRIME_PEAK) * F.exp(-from_prime / F.lit(PRIME_DECAY_DAYS)),
         F.when(month >= 11, F.lit(SEASON_FLOOR)).otherwise(F.lit(0.0)),
         F.when((month == 8) | ((month == 9) & (day <= 15)), F.lit(BACK_TO_SCHOOL_FLOOR))
@@ -119,6 +115,14 @@ def intensity_score(date: Column | str, to_bf=None, since_bf=None) -> Column:
     return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 4)
 
 
+def intensity_score(date: Column | str) -> Column:
+    """Intensity of any date column; events of the neighbouring years count."""
+    date = col(date)
+    from_bf = F.least(days_until(date, black_friday), days_since(date, black_friday))
+    from_prime = F.least(days_until(date, prime_day), days_since(date, prime_day))
+    return blend_intensity(date, from_bf, from_prime)
+
+
 def calendar_parts(date: Column | str = "date") -> dict[str, Column]:
     date = col(date)
     return {

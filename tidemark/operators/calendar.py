@@ -27,30 +27,43 @@ def check_years(start_year: int, end_year: int) -> None:
 
 
 def describe_days(days: DataFrame) -> DataFrame:
-    """Holiday columns of a frame of dates, from the date alone (no event tables, no joins)."""
-    date = F.col("date")
-    year = F.year(date)
-    bf, cm = D.black_friday(year), D.cyber_monday(year)
-    federal = D.federal_holiday(date)
-    out = days.select(
+    """Holiday columns of a frame of dates, from the date alone (no event tables, no joins).
+
+    The anchor dates of the previous, current and next year are columns of their own, so that every
+    flag and distance is a short expression over them.
+    """
+    date, year = F.col("date"), F.year("date")
+    anchored = days.select(
+        "date",
+        D.federal_holiday(date).alias("_federal"),
+        *[D.thanksgiving(year + i).alias(f"_td{i + 1}") for i in (-1, 0, 1)],
+        *[D.prime_day(year + i).alias(f"_pd{i + 1}") for i in (-1, 0, 1)],
+    )
+    td, federal = F.col("_td1"), F.col("_federal")
+    bf, cm = F.date_add(td, 1), F.date_add(td, 4)
+
+    to_td = F.when(date <= td, F.datediff(td, date)).otherwise(F.datediff("_td2", date))
+    since_td = F.when(date >= td, F.datediff(date, td)).otherwise(F.datediff(date, "_td0"))
+    to_bf = F.when(date <= bf, F.datediff(bf, date)).otherwise(F.datediff("_td2", date) + 1)
+    since_bf = F.when(date >= bf, F.datediff(date, bf)).otherwise(F.datediff(date, "_td0") - 1)
+    measured = anchored.select(
         "date",
         F.when(date == bf, "Black Friday")
         .when(date == cm, "Cyber Monday")
-        .otherwise(F.coalesce(federal, F.when(date == D.prime_day(year), "Prime Day (approx)"), F.lit("")))
+        .otherwise(F.coalesce(federal, F.when(date == F.col("_pd1"), "Prime Day (approx)"), F.lit("")))
         .alias("holiday_name"),
         federal.isNotNull().alias("is_holiday"),
         ((date == bf) | (date == cm)).alias("is_bfcm"),
-        date.between(D.thanksgiving(year), cm).alias("is_cyber_week"),
+        date.between(td, cm).alias("is_cyber_week"),
         (F.month(date) >= 11).alias("is_holiday_season"),
-        D.days_until(date, D.black_friday).alias("days_to_black_friday"),
-        D.days_since(date, D.black_friday).alias("days_since_black_friday"),
-        D.days_until(date, D.thanksgiving).alias("days_to_thanksgiving"),
-        D.days_since(date, D.thanksgiving).alias("days_since_thanksgiving"),
+        to_bf.alias("days_to_black_friday"),
+        since_bf.alias("days_since_black_friday"),
+        to_td.alias("days_to_thanksgiving"),
+        since_td.alias("days_since_thanksgiving"),
+        F.least(*[F.abs(F.datediff(date, f"_pd{i}")) for i in range(3)]).alias("_from_prime"),
     )
-    return out.withColumn(
-        "holiday_intensity_score",
-        D.intensity_score("date", "days_to_black_friday", "days_since_black_friday"),
-    ).select(*CALENDAR_COLUMNS)
+    score = D.blend_intensity(date, F.least("days_to_black_friday", "days_since_black_friday"), F.col("_from_prime"))
+    return measured.withColumn("holiday_intensity_score", score).select(*CALENDAR_COLUMNS)
 
 
 def holiday_calendar(spark: SparkSession, start_year: int = 2024, end_year: int = 2027) -> DataFrame:

@@ -88,14 +88,15 @@ def budget_features(df: DataFrame, roles: Roles = PANEL) -> DataFrame:
     })
 
 
-def join_taxonomy(df: DataFrame, dim: DataFrame, roles: Roles = PANEL) -> DataFrame:
-    """Left join of the campaign dimension, first reduced to one row per key.
+def join_taxonomy(df: DataFrame, dim: DataFrame, roles: Roles = PANEL, unique: bool = False) -> DataFrame:
+    """Left join of the campaign dimension, first reduced to one row per key unless ``unique``.
 
-    No broadcast hint: the dimension grows with the number of campaigns, so Spark's own size
-    threshold decides between a broadcast and a co-partitioned join.
+    No broadcast hint: the dimension grows with the number of campaigns, so its measured size
+    decides between a broadcast and a co-partitioned join.
     """
     keys = [roles.platform, roles.entity]
-    return df.join(dim.select(*keys, *TAXONOMY_COLUMNS).dropDuplicates(keys), keys, "left")
+    slim = dim.select(*keys, *TAXONOMY_COLUMNS)
+    return df.join(slim if unique else slim.dropDuplicates(keys), keys, "left")
 
 
 def join_calendar(df: DataFrame, calendar: DataFrame, roles: Roles = PANEL) -> DataFrame:
@@ -114,10 +115,11 @@ def build_feature_store(
     mode: str = "rows",
 ) -> DataFrame:
     """The wide feature table: one row per (campaign, day), canonical columns first."""
-    taxonomy = parse_taxonomy(facts) if taxonomy is None else taxonomy
+    derived = taxonomy is None  # a derived dimension has one row per campaign by construction
+    taxonomy = parse_taxonomy(facts) if derived else taxonomy
     calendar = calendar_covering(facts) if calendar is None else calendar
     fs = rolling_features(lag_features(facts, mode=mode), mode=mode)
-    fs = join_calendar(join_taxonomy(momentum(fs), taxonomy), calendar)
+    fs = join_calendar(join_taxonomy(momentum(fs), taxonomy, unique=derived), calendar)
     fs = roas_lags(budget_features(calendar_features(fs)))
     parts = list(calendar_parts("date"))
     fs = fs.select(

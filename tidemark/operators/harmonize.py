@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ BING_CHANNELS = {
     "Audience": "UpperFunnel",
 }
 MICROS = 1_000_000.0
+PLATFORMS = ("google", "meta", "bing")
 # ---------------------------------------------------------------------------------------
 
 
@@ -97,18 +100,17 @@ def harmonize_bing(raw: DataFrame) -> DataFrame:
     })
 
 
-def flag_maturity(df: DataFrame, days: int = MATURITY_DAYS, roles: Roles = PANEL) -> DataFrame:
+def flag_maturity(df: DataFrame, days: int = MATURITY_DAYS, roles: Roles = PANEL,
+                  platforms: Sequence[str] = PLATFORMS) -> DataFrame:
     """Mature = at least ``days`` before the platform's own last day.
 
-    The per-platform maximum is a partial aggregate joined back, never a window over the
-    platform: a platform can hold most of the rows.
+    The last days come back as one scalar map with an entry per named platform.  Neither a window
+    nor a join by platform is involved: either would send a whole platform to one task.
     """
-    cutoffs = df.groupBy(roles.platform).agg(F.date_sub(F.max(roles.date), days).alias("_cutoff"))
-    return (
-        df.join(cutoffs, roles.platform, "left")
-        .withColumn(roles.mature, F.col(roles.date) <= F.col("_cutoff"))
-        .drop("_cutoff")
-    )
+    platform, date = F.col(roles.platform), F.col(roles.date)
+    entries = [e for p in platforms for e in (F.lit(p), F.max(F.when(platform == p, date)))]
+    last_days = df.agg(F.create_map(*entries)).scalar()
+    return df.withColumn(roles.mature, date <= F.date_sub(F.try_element_at(last_days, platform), days))
 
 
 def canonical_projection(df: DataFrame) -> DataFrame:

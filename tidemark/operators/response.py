@@ -153,24 +153,34 @@ def finish_fit(stats: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def operating_points(df: DataFrame, window: int = OPERATING_ROWS, roles: Roles = PANEL) -> DataFrame:
-    """Mean spend and revenue over the last mature rows; a campaign without any uses all its rows."""
-    w = Window.partitionBy("campaign_id")
-    newest = w.orderBy(F.col("_m").desc(), F.col(roles.date).desc())
-    ranked = df.select(
-        F.col(roles.entity).alias("campaign_id"), roles.platform, roles.name, roles.date,
-        F.col(roles.spend).alias("_s"), F.col(roles.revenue).alias("_r"),
-        is_mature(df, roles.mature).alias("_m"),
+    """Mean spend and revenue over the last mature rows; a campaign without any uses all its rows.
+
+    Only the first ``window`` rows per campaign (mature ones first, newest first) leave the map side:
+    Spark limits a ranked window before its shuffle.  Names and row counts are hash aggregates.
+    """
+    rows = df.select(
+        F.col(roles.entity).alias("campaign_id"), F.col(roles.platform).alias("platform"),
+        F.col(roles.name).alias("campaign_name"), F.col(roles.date).alias("_d"),
+        F.col(roles.spend).alias("_s"), F.col(roles.revenue).alias("_r"), is_mature(df, roles.mature).alias("_m"),
+    )
+    newest = Window.partitionBy("campaign_id").orderBy(F.col("_m").desc(), F.col("_d").desc())
+    recent = rows.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= window)
+
+    def level(c):
+        mature = F.avg(F.when(F.col("_m"), F.col(c)))
+        return F.greatest(F.coalesce(mature, F.avg(c), F.lit(0.0)), F.lit(0.0))
+
+    levels = recent.groupBy("campaign_id").agg(
+        level("_s").alias("avg_daily_spend"), level("_r").alias("avg_daily_revenue")
     )
-    ranked = ranked.withColumn("_rank", F.row_number().over(newest)).withColumn(
-        "_any", F.bool_or("_m").over(w)
+    spellings = rows.groupBy("campaign_id", "platform", "campaign_name").agg(
+        F.count_if("_m").alias("_n"), F.min("_d").alias("_since")
     )
-    used = (F.col("_rank") <= window) & (F.col("_m") | ~F.col("_any"))
-    return ranked.groupBy("campaign_id", roles.platform).agg(
-        F.min_by(roles.name, F.struct(roles.date, roles.name)).alias("campaign_name"),
-        F.count_if("_m").alias("n_training_rows"),
-        F.greatest(F.coalesce(F.avg(F.when(used, F.col("_s"))), F.lit(0.0)), F.lit(0.0)).alias("avg_daily_spend"),
-        F.greatest(F.coalesce(F.avg(F.when(used, F.col("_r"))), F.lit(0.0)), F.lit(0.0)).alias("avg_daily_revenue"),
+    named = spellings.groupBy("campaign_id", "platform").agg(
+        F.min_by("campaign_name", F.struct("_since", "campaign_name")).alias("campaign_name"),
+        F.sum("_n").alias("n_training_rows"),
     )
+    return named.join(levels, "campaign_id")
 
 
 def response_curves(df: DataFrame, roles: Roles = PANEL, refinements: int = REFINEMENTS) -> DataFrame:

@@ -22,15 +22,16 @@ DIMENSION_COLUMNS = [
 def unique_campaigns(facts: DataFrame) -> DataFrame:
     """One row per (platform, campaign): the name and channel of its first day.
 
-    ``min_by`` combines on the map side and, with the name as tie-breaker, is deterministic.
+    First the distinct spellings, a hash aggregate that combines on the map side and leaves about
+    one row per campaign; only those are compared by date, with the name as tie-breaker.
     """
-    first = F.min_by(
-        F.struct("campaign_name", "channel_format"),
-        F.struct("date", "campaign_name", "channel_format") if "date" in facts.columns
-        else F.struct("campaign_name", "channel_format"),
-    )
+    spelling = ["platform", "campaign_id", "campaign_name", "channel_format"]
+    since = F.min("date") if "date" in facts.columns else F.lit(None).cast("date")
+    spellings = facts.groupBy(*spelling).agg(F.coalesce(since, F.lit("1970-01-01").cast("date")).alias("_since"))
+    first = F.min_by(F.struct("campaign_name", "channel_format"),
+                     F.struct("_since", "campaign_name", "channel_format"))
     return (
-        facts.groupBy("platform", "campaign_id").agg(first.alias("_first"))
+        spellings.groupBy("platform", "campaign_id").agg(first.alias("_first"))
         .select("platform", "campaign_id", "_first.campaign_name", "_first.channel_format")
     )
 

@@ -53,10 +53,11 @@ CAMPAIGNS_SQL = f"""campaigns AS (
 
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # 25 nations and 5 regions at every scale factor.
     places = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+        F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    return table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return table(spark, sf_dir, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.expr(_PLATFORM).alias("platform"),
         F.col("s_suppkey").alias("campaign_id"),
         F.expr(_NAME).alias("campaign_name"),

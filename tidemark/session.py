@@ -11,6 +11,11 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcast on measured size only: estimates of aggregated or joined inputs can be far off, so
+    # the planner never guesses and AQE converts a join once it has seen how small a side is.
+    # Sides with a proven bound (calendar, folds) carry an explicit hint.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Small inputs still use every core: compute-heavy stages here often read very little.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
