@@ -9,6 +9,7 @@ from tidemark.operators import series as S
 from tidemark.plans import tables as V
 from tidemark.plans.ingest import FACT_KEYS, FACT_DOUBLES, calendar_sql, raw_exports
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 from tidemark.operators.calendar import calendar_covering
 from tidemark.operators.taxonomy import parse_taxonomy
 from tidemark.roles import (
@@ -143,7 +144,7 @@ FACT_TAXONOMY_SQL = """dim AS (
 @query("join_taxonomy", [*FACT_KEYS, *TAXONOMY_COLUMNS], source="facts JOIN dim USING (platform, campaign_id)",
        ctes=f"{V.FACTS_SQL}, {FACT_TAXONOMY_SQL}")
 def join_taxonomy(spark, d):
-    rows = V.facts(spark, d)
+    rows = V.stored_facts(spark, d)
     return O.join_taxonomy(rows, parse_taxonomy(rows))
 
 
@@ -174,7 +175,7 @@ STORE_DOUBLES = [*FACT_DOUBLES, *lag_columns(), *rolling_columns(), *momentum_co
 
 @query("feature_store", STORE_KEYS, STORE_DOUBLES, source="store", ctes=STORE_SQL)
 def feature_store(spark, d):
-    return O.build_feature_store(V.facts(spark, d))
+    return O.build_feature_store(V.stored_facts(spark, d))
 
 
 @query("feature_store_from_exports", ["platform", "n_rows", "n_days"],
@@ -186,7 +187,7 @@ def feature_store_from_exports(spark, d):
     """The whole path: three exports, harmonized, to a summary of the feature store."""
     from tidemark.operators.harmonize import harmonize
 
-    store = O.build_feature_store(harmonize(*raw_exports(spark, d), check=False))
+    store = O.build_feature_store(cut_lineage(harmonize(*raw_exports(spark, d), check=False)))
     return store.groupBy("platform").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.col("date")).alias("n_days"),
         *[F.avg(c).alias(c) for c in ("revenue_roll_mean_7", "roas_lag_7", "holiday_intensity_score")])
@@ -215,7 +216,7 @@ def latest_rows(spark, d):
     UNION ALL SELECT 'prior', campaign_id, date, spend FROM facts
       WHERE date BETWEEN (SELECT max(date) FROM facts) - 59 AND (SELECT max(date) FROM facts) - 30)""")
 def trailing_and_prior_days(spark, d):
-    rows = V.facts(spark, d)
+    rows = V.stored_facts(spark, d)
     return S.trailing_days(rows, 30).withColumn("period", F.lit("recent")).unionByName(
         S.prior_days(rows, 30).withColumn("period", F.lit("prior")))
 

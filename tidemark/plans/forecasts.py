@@ -15,6 +15,7 @@ from tidemark.operators.features import budget_features, join_calendar
 from tidemark.plans import tables as V
 from tidemark.plans.ingest import calendar_sql
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 
 # ---- folds -----------------------------------------------------------------------------------------
 
@@ -56,7 +57,7 @@ def fold_summary(spark, d):
     SELECT fold_id, platform, count(*) AS n_rows, sum(revenue_attributed) AS revenue
     FROM facts JOIN folds ON date BETWEEN val_start AND val_end GROUP BY fold_id, platform)""")
 def fold_assign(spark, d):
-    rows = V.facts(spark, d)
+    rows = V.stored_facts(spark, d)
     return B.assign_validation_folds(rows, B.rolling_origin_folds(rows)).groupBy("fold_id", "platform").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("revenue_attributed").alias("revenue"))
 
@@ -68,7 +69,7 @@ def fold_assign(spark, d):
                      AND t.campaign_id = v.campaign_id AND t.date = v.date)) AS n_shared FROM folds)""")
 def leakage_check(spark, d):
     """Bounds of every fold, and the rows its last fold would share between both sides."""
-    rows = V.facts(spark, d)
+    rows = V.stored_facts(spark, d)
     folds = B.rolling_origin_folds(rows)
     start = folds.agg(F.max("val_start")).scalar()
     end = folds.agg(F.max("val_end")).scalar()
@@ -127,7 +128,7 @@ METRICS_SQL = f"""{FOLDS_SQL}, seasonal AS (
 
 
 def _baseline_metrics(spark, d):
-    rows = V.facts(spark, d)
+    rows = V.stored_facts(spark, d)
     mature = rows.filter("attribution_mature").withColumn("weekday", F.weekday("date"))
     scored = Q.apply_baseline(mature, V.seasonal_quantiles(rows), ["platform", "weekday"])
     return B.fold_metrics(B.assign_validation_folds(scored, B.rolling_origin_folds(rows)))
@@ -279,16 +280,16 @@ def _insight(name, source, ctes, build):
 
 
 _insight("revenue_trend", TREND_SQL, RECENT_SQL, lambda s, d: I.revenue_trend(V.forecast(s, d)))
-_insight("platform_share", SHARE_SQL, RECENT_SQL, lambda s, d: I.platform_share(V.forecast(s, d)))
+_insight("platform_share", SHARE_SQL, RECENT_SQL, lambda s, d: I.platform_share(cut_lineage(V.forecast(s, d))))
 _insight("forecast_confidence", CONFIDENCE_SQL, RECENT_SQL, lambda s, d: I.forecast_confidence(V.forecast(s, d)))
-_insight("top_campaign", TOP_SQL, RECENT_SQL, lambda s, d: I.top_campaign(V.forecast(s, d)))
+_insight("top_campaign", TOP_SQL, RECENT_SQL, lambda s, d: I.top_campaign(cut_lineage(V.forecast(s, d))))
 _insight("spend_momentum", SPEND_SQL, V.FACTS_SQL, lambda s, d: I.spend_momentum(V.facts(s, d)))
 _insight("holiday_signal", HOLIDAY_SQL, _HOLIDAY_CTES, lambda s, d: I.holiday_signal(with_holidays(V.facts(s, d))))
 
 
 def _all_insights(spark, d):
-    rows = V.facts(spark, d)
-    return I.all_insights(V.forecast(spark, d, rows), with_holidays(rows))
+    rows = V.stored_facts(spark, d)
+    return I.all_insights(cut_lineage(V.forecast(spark, d, rows)), with_holidays(rows))
 
 
 _insight("all_insights", "(" + " UNION ALL ".join(

@@ -21,13 +21,13 @@ from tidemark.plans import tables as V
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 
-FAST = ForestConfig(trees=10, depth=6)
+FAST = ForestConfig(trees=8, depth=5)
 FAST_FOLDS = {"min_train": 1800, "step": 360, "max_folds": 2}
 
 
 def store(spark, d):
     """Feature store, materialised once: folds, fits and scoring all read it."""
-    return cut_lineage(build_feature_store(V.facts(spark, d)))
+    return cut_lineage(build_feature_store(V.stored_facts(spark, d)))
 
 
 def forest(fs, config=FAST):
@@ -59,8 +59,8 @@ def forecast_rollout(spark, d):
     return O.forecast_rollout(fs, forest(fs), n_days=7)
 
 
-def _allocation(spark, d):
-    curves = cut_lineage(P.response_curves(V.facts(spark, d)))
+def _allocation(spark, d, rows=None):
+    curves = cut_lineage(P.response_curves(V.stored_facts(spark, d) if rows is None else rows))
     return curves, A.allocate_budget(curves)
 
 
@@ -96,9 +96,9 @@ def recommendations(spark, d):
 @query("context_json", ["context"])
 def context_json(spark, d):
     """The whole portfolio as one document."""
-    rows = cut_lineage(V.facts(spark, d))
+    rows = V.stored_facts(spark, d)
     fc = cut_lineage(V.forecast(spark, d, rows))
-    curves, allocation = _allocation(spark, d)
+    curves, allocation = _allocation(spark, d, rows)
     summary = X.context_summary(fc, curves, allocation.summary)
     return X.context_json(summary, I.all_insights(fc, rows), K.all_risks(rows, curves, fc),
                           N.recommendations(allocation.table))

@@ -17,6 +17,7 @@ from tidemark.plans.forecasts import (
     CI_RISK_SQL, RECENT_SQL, RISK_DOUBLES, RISK_KEYS, UTILIZATION_SQL, ZERO_SQL, _n0, _title,
 )
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 
 # ---- curves -----------------------------------------------------------------------------------------
 
@@ -82,7 +83,7 @@ CURVES_SQL = f"""{V.FACTS_SQL}, {HILL_SQL}, ranked AS (
 
 def curves(spark, d):
     """Curves of the fixed grid: the form both engines can compute exactly."""
-    return P.response_curves(V.facts(spark, d), refinements=0)
+    return P.response_curves(V.stored_facts(spark, d), refinements=0)
 
 
 def hill_sql(x):
@@ -97,7 +98,7 @@ def slope_sql(x):
 @query("current_spend_revenue", ["platform", "campaign_id", "campaign_name", "n_training_rows"],
        ["avg_daily_spend", "avg_daily_revenue"], source="points", ctes=CURVES_SQL)
 def current_spend_revenue(spark, d):
-    return P.operating_points(V.facts(spark, d))
+    return P.operating_points(V.stored_facts(spark, d))
 
 
 @query("fit_statistics", ["campaign_id", "n_points"],
@@ -112,7 +113,7 @@ _FIT_KEYS = ["campaign_id", "n_points", "is_reliable", "fit_reason"]
 
 @query("fit_hill_grid", _FIT_KEYS, ["v_max", "k", "n", "r_squared"], ctes=f"{V.FACTS_SQL}, {HILL_SQL}", source="fit")
 def fit_hill_grid(spark, d):
-    return P.fit_hill(V.facts(spark, d), refinements=0)
+    return P.fit_hill(V.stored_facts(spark, d), refinements=0)
 
 
 @query("response_curves", ["campaign_id", "campaign_name", "platform", "is_reliable", "fit_reason", "n_points", "n_training_rows"],
@@ -125,7 +126,7 @@ def response_curves(spark, d):
 @query("fit_hill", _FIT_KEYS, ["v_max", "k", "n", "r_squared"])
 def fit_hill(spark, d):
     """The refined fit; its invariants are in the tests."""
-    return P.fit_hill(V.facts(spark, d))
+    return P.fit_hill(V.stored_facts(spark, d))
 
 
 @query("hill_on_facts", ["campaign_id", "date"], ["fitted", "slope", "sat"], ctes=f"{V.FACTS_SQL}, {HILL_SQL}",
@@ -134,7 +135,7 @@ def fit_hill(spark, d):
               "FROM facts JOIN fit USING (campaign_id))")
 def hill_on_facts(spark, d):
     """Every fact row evaluated on its campaign's curve."""
-    rows = V.facts(spark, d)
+    rows = V.stored_facts(spark, d)
     return rows.join(P.fit_hill(rows, refinements=0), "campaign_id").select(
         "campaign_id", "date", C.hill("spend").alias("fitted"), C.marginal_roas("spend").alias("slope"),
         C.saturation("spend").alias("sat"))
@@ -202,7 +203,7 @@ def segment_table(spark, d):
       forecast_rev_7d FROM curves LEFT JOIN
       (SELECT campaign_id, sum(p50) AS forecast_rev_7d FROM recent GROUP BY campaign_id) USING (campaign_id))""")
 def campaign_table(spark, d):
-    rows = V.facts(spark, d)
+    rows = V.stored_facts(spark, d)
     return R.campaign_table(P.response_curves(rows, refinements=0), V.forecast(spark, d, rows), 7, "campaign_name")
 
 
@@ -211,7 +212,7 @@ def campaign_table(spark, d):
        source="""(SELECT campaign_id, avg_daily_revenue, forecast_rev_7d FROM points LEFT JOIN
       (SELECT campaign_id, sum(p50) AS forecast_rev_7d FROM recent GROUP BY campaign_id) USING (campaign_id))""")
 def join_forecast_revenue(spark, d):
-    rows = V.facts(spark, d)
+    rows = V.stored_facts(spark, d)
     return P.operating_points(rows).join(R.forecast_revenue(V.forecast(spark, d, rows)), "campaign_id", "left")
 
 
@@ -341,12 +342,12 @@ def _risk(name, source, ctes, build):
 
 
 _risk("saturation_risk", SATURATION_SQL, CURVES_SQL, lambda s, d: K.saturation_risk(curves(s, d)))
-_risk("concentration_risk", CONCENTRATION_SQL, CURVES_SQL, lambda s, d: K.concentration_risk(curves(s, d)))
+_risk("concentration_risk", CONCENTRATION_SQL, CURVES_SQL, lambda s, d: K.concentration_risk(cut_lineage(curves(s, d))))
 
 
 def _all_risks(spark, d):
-    rows = V.facts(spark, d)
-    return K.all_risks(budget_features(rows), P.response_curves(rows, refinements=0), V.forecast(spark, d, rows))
+    rows = V.stored_facts(spark, d)
+    return K.all_risks(budget_features(rows), cut_lineage(P.response_curves(rows, refinements=0)), V.forecast(spark, d, rows))
 
 
 _risk("all_risks", "(" + " UNION ALL ".join(
@@ -376,7 +377,7 @@ _risk("all_risks", "(" + " UNION ALL ".join(
       WHERE avg_daily_spend >= 20 AND avg_daily_spend * 0.15 >= 10)
     ORDER BY expected_revenue_lift DESC LIMIT 5)""")
 def quick_recommendations(spark, d):
-    return N.quick_recommendations(curves(spark, d))
+    return N.quick_recommendations(cut_lineage(curves(spark, d)))
 
 
 @query("context_summary", ["top_ids", "saturated_ids", "headroom_ids", "low_ids", "platforms"],
@@ -400,8 +401,9 @@ def quick_recommendations(spark, d):
       (SELECT sum(p50) FROM recent WHERE platform = 'google') AS google_revenue,
       (SELECT sum(avg_daily_spend) FROM curves WHERE platform = 'meta') AS meta_spend)""")
 def context_summary(spark, d):
-    rows = V.facts(spark, d)
-    summary = X.context_summary(V.forecast(spark, d, rows), P.response_curves(rows, refinements=0))
+    rows = V.stored_facts(spark, d)
+    summary = X.context_summary(cut_lineage(V.forecast(spark, d, rows)),
+                                cut_lineage(P.response_curves(rows, refinements=0)))
     return summary.select(
         F.concat_ws(",", F.transform("top_campaigns", lambda t: t["campaign_id"])).alias("top_ids"),
         F.concat_ws(",", "saturated").alias("saturated_ids"),

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.harmonize import flag_maturity
-from tidemark.operators.quantiles import baseline_quantiles, apply_baseline
+from tidemark.operators.quantiles import apply_baseline, baseline_quantiles
+from tidemark.session import cut_lineage
 
 PLATFORMS = ["bing", "google", "meta"]
 
@@ -120,6 +121,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts written once as a table, for plans that read them more than once."""
+    return cut_lineage(facts(spark, sf_dir))
+
+
 # ---- forecasts ---------------------------------------------------------------------------
 
 FORECAST_SQL = f"""{FACTS_SQL}, seasonal AS (
@@ -143,7 +149,7 @@ def seasonal_quantiles(fact_rows: DataFrame) -> DataFrame:
 
 def forecast(spark: SparkSession, sf_dir: str, fact_rows: DataFrame | None = None) -> DataFrame:
     """Forecast table: seasonal quantiles on every row, immature rows play the future."""
-    fact_rows = facts(spark, sf_dir) if fact_rows is None else fact_rows
+    fact_rows = stored_facts(spark, sf_dir) if fact_rows is None else fact_rows
     rows = fact_rows.select(
         "date", "campaign_id", "campaign_name", "platform", F.weekday("date").alias("weekday"),
         F.when(F.col("attribution_mature"), F.col("revenue_attributed")).alias("revenue_attributed"),
