@@ -90,3 +90,14 @@ def test_recent_rows(two_campaigns):
     change = S.period_over_period(two_campaigns, "revenue_attributed", 7).first()
     assert change.recent == 3 * sum(range(2900, 3600, 100)) and change.n_prior == 14
     assert S.select_campaigns(two_campaigns, campaigns=["camp_A"]).count() == 35
+
+
+def test_taxonomy_join_needs_both_keys(spark, two_campaigns):
+    from tidemark.operators.taxonomy import parse_taxonomy
+
+    dim = parse_taxonomy(two_campaigns)
+    swapped = dim.withColumn("platform", F.lit("bing")).withColumn("format", F.lit("wrong"))
+    got = O.join_taxonomy(two_campaigns, dim.unionByName(swapped).unionByName(dim))
+    assert got.count() == 70 and got.filter("format = 'wrong'").isEmpty()
+    assert got.filter("strategy_key IS NULL").isEmpty()
+    assert O.join_taxonomy(two_campaigns, swapped).filter("strategy_key IS NOT NULL").isEmpty()

@@ -91,12 +91,19 @@ def budget_features(df: DataFrame, roles: Roles = PANEL) -> DataFrame:
 def join_taxonomy(df: DataFrame, dim: DataFrame, roles: Roles = PANEL, unique: bool = False) -> DataFrame:
     """Left join of the campaign dimension, first reduced to one row per key unless ``unique``.
 
-    No broadcast hint: the dimension grows with the number of campaigns, so its measured size
-    decides between a broadcast and a co-partitioned join.
+    The join key is (platform, campaign), but the panel is already partitioned by campaign.  The
+    dimension therefore folds to one row per campaign id with an entry per platform, so that wide
+    rows are not shuffled again.  No broadcast hint: the dimension grows with the number of
+    campaigns, and its measured size decides.
     """
     keys = [roles.platform, roles.entity]
-    slim = dim.select(*keys, *TAXONOMY_COLUMNS)
-    return df.join(slim if unique else slim.dropDuplicates(keys), keys, "left")
+    slim = dim.filter(F.col(roles.platform).isNotNull()).select(*keys, F.struct(*TAXONOMY_COLUMNS).alias("_t"))
+    slim = slim if unique else slim.dropDuplicates(keys)
+    per_id = slim.groupBy(roles.entity).agg(
+        F.map_from_entries(F.collect_list(F.struct(roles.platform, "_t"))).alias("_by_platform")
+    )
+    matched = F.try_element_at("_by_platform", F.col(roles.platform))
+    return df.join(per_id, roles.entity, "left").withColumn("_t", matched).select(*df.columns, "_t.*")
 
 
 def join_calendar(df: DataFrame, calendar: DataFrame, roles: Roles = PANEL) -> DataFrame:
@@ -115,7 +122,7 @@ def build_feature_store(
     mode: str = "rows",
 ) -> DataFrame:
     """The wide feature table: one row per (campaign, day), canonical columns first."""
-    derived = taxonomy is None  # a derived dimension has one row per campaign by construction
+    derived = taxonomy is None  # has one row per campaign by construction
     taxonomy = parse_taxonomy(facts) if derived else taxonomy
     calendar = calendar_covering(facts) if calendar is None else calendar
     fs = rolling_features(lag_features(facts, mode=mode), mode=mode)

@@ -101,15 +101,16 @@ def harmonize_bing(raw: DataFrame) -> DataFrame:
 
 
 def flag_maturity(df: DataFrame, days: int = MATURITY_DAYS, roles: Roles = PANEL,
-                  platforms: Sequence[str] = PLATFORMS) -> DataFrame:
+                  platforms: Sequence[str] = PLATFORMS, of: DataFrame | None = None) -> DataFrame:
     """Mature = at least ``days`` before the platform's own last day.
 
     The last days come back as one scalar map with an entry per named platform.  Neither a window
-    nor a join by platform is involved: either would send a whole platform to one task.
+    nor a join by platform is involved: either would send a whole platform to one task.  ``of`` may
+    name a cheaper frame with the same last days.
     """
     platform, date = F.col(roles.platform), F.col(roles.date)
     entries = [e for p in platforms for e in (F.lit(p), F.max(F.when(platform == p, date)))]
-    last_days = df.agg(F.create_map(*entries)).scalar()
+    last_days = (df if of is None else of).agg(F.create_map(*entries)).scalar()
     return df.withColumn(roles.mature, date <= F.date_sub(F.try_element_at(last_days, platform), days))
 
 

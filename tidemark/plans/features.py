@@ -173,9 +173,15 @@ STORE_DOUBLES = [*FACT_DOUBLES, *lag_columns(), *rolling_columns(), *momentum_co
                  *roas_columns(), "holiday_intensity_score"]
 
 
+def feature_table(spark, d):
+    """Feature store with dimensions from their own tables, so that the facts are read once."""
+    days = V.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
+    return O.build_feature_store(V.facts(spark, d), parse_taxonomy(V.campaigns(spark, d)), calendar_covering(days))
+
+
 @query("feature_store", STORE_KEYS, STORE_DOUBLES, source="store", ctes=STORE_SQL)
 def feature_store(spark, d):
-    return O.build_feature_store(V.stored_facts(spark, d))
+    return feature_table(spark, d)
 
 
 @query("feature_store_from_exports", ["platform", "n_rows", "n_days"],

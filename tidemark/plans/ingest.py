@@ -13,6 +13,7 @@ from tidemark.operators.calendar import CALENDAR_COLUMNS, calendar_covering
 from tidemark.plans import tables as V
 from tidemark.plans.registry import query
 from tidemark.roles import CANONICAL_SCHEMA
+from tidemark.session import cut_lineage
 from tidemark.sources.platforms import profile
 
 FACT_KEYS = ["platform", "campaign_id", "campaign_name", "date", "channel_format", "attribution_mature"]
@@ -60,7 +61,7 @@ def source_profile(spark, d):
 
 def raw_exports(spark, d):
     """The supplied tables in the shape of the three platform exports."""
-    rows = V.daily_lines(spark, d).join(V.campaigns(spark, d), "campaign_id")
+    rows = cut_lineage(V.daily_lines(spark, d).join(V.campaigns(spark, d), "campaign_id"))
     google_type = F.expr("CASE channel_format WHEN 'PMax' THEN 'PERFORMANCE_MAX' WHEN 'Search' THEN 'SEARCH' "
                          "WHEN 'UpperFunnel' THEN 'DEMAND_GEN' ELSE 'SHOPPING' END")
     bing_type = F.expr("CASE channel_format WHEN 'PMax' THEN 'PerformanceMax' WHEN 'Search' THEN 'Search' "

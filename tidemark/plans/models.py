@@ -14,10 +14,10 @@ from tidemark.operators import reports as R
 from tidemark.operators import response as P
 from tidemark.operators import risks as K
 from tidemark.operators import rollout as O
-from tidemark.operators.features import build_feature_store
 from tidemark.operators.forest import ForestConfig, fit_quantile_forest
 from tidemark.operators.series import mature_rows
 from tidemark.plans import tables as V
+from tidemark.plans.features import feature_table
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 
@@ -27,7 +27,7 @@ FAST_FOLDS = {"min_train": 1800, "step": 360, "max_folds": 2}
 
 def store(spark, d):
     """Feature store, materialised once: folds, fits and scoring all read it."""
-    return cut_lineage(build_feature_store(V.stored_facts(spark, d)))
+    return cut_lineage(feature_table(spark, d))
 
 
 def forest(fs, config=FAST):

@@ -109,7 +109,10 @@ FACTS_SQL = f"""{DAYS_SQL}, {CAMPAIGNS_SQL}, unflagged AS (
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical fact table of the supplied tables."""
-    joined = daily_lines(spark, sf_dir).join(campaigns(spark, sf_dir), "campaign_id")
+    dim = campaigns(spark, sf_dir)
+    joined = daily_lines(spark, sf_dir).join(dim, "campaign_id")
+    last_days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("campaign_id")).agg(
+        F.max("l_shipdate").cast("date").alias("date")).join(dim, "campaign_id")
     platform = F.col("platform")
     return flag_maturity(joined.select(
         "platform", "campaign_id", "campaign_name", "date", "spend", "revenue_attributed", "clicks",
@@ -118,7 +121,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "daily_budget", "channel_format",
         F.when(platform == "meta", F.col("clicks") * 2).alias("reach"),
         F.when(platform == "google", F.col("clicks") * 3).alias("video_views"),
-    ))
+    ), of=last_days)
 
 
 def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,6 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Small inputs still use every core: compute-heavy stages here often read very little.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
-    # Lets a join on (platform, campaign_id) reuse the campaign_id partitioning
-    # that the panel windows already paid for.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
