@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidemark.functions.metrics import METRIC_NAMES
 from tidemark.operators import allocate as A
 from tidemark.operators import backtest as B
