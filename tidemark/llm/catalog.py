@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import simhash  # noqa: F401
+from tidemark.llm import bpe, simhash  # noqa: F401
 from tidemark.llm.registry import QUERIES, TWINS
 
 
