@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, simhash, toxicity  # noqa: F401
+from tidemark.llm import bpe, pii, secrets, simhash, toxicity  # noqa: F401
 from tidemark.llm.registry import QUERIES, TWINS
 
 

@@ -51,8 +51,8 @@ LOOKALIKES = {
 #: Log-probabilities of the channel: a look-alike read as its letter, a letter repeated, and what a sign or
 #: look-alike costs that means nothing or ends a word.
 SWAP, REPEAT = -1.0, -0.5
-NOTHING = {True: -7.0, False: -1.0}
-ENDING = {True: -7.0, False: -1.0, " ": -4.0}
+NOTHING = {True: -12.0, False: -1.0}
+ENDING = {True: -12.0, False: -1.0, " ": -4.0}
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKALIKES) + "¿…“”‘’«»–—"
 TRIPLE = re.compile(r"(.)\1\1")
 #: Distinct chunks that a task counts, or a worker keeps, at a time.
