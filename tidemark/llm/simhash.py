@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, rows_of, table, text_bytes
@@ -53,14 +53,19 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long): the fingerprint of every whole text, as a signed integer."""
+    """(doc_id, fp long, hash): the fingerprint of every whole text, as a signed integer, and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, c in rows_of(batches):
             fps = np.array([fingerprint(x) for x in c["raw"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "hash"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text)).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text), text_hash(text).alias("hash"))
+    return rows.mapInArrow(run, "doc_id long, fp long, hash long")
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def cells(fps: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def spanning(fps: np.ndarray, nodes: np.ndarray, distance: int):
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp long, component_id): documents whose fingerprints are linked by steps of ``distance`` bits or less.
+    """(doc_id, fp long, hash, component_id): documents whose fingerprints are linked by steps of ``distance`` bits or less.
 
     The component is the smallest doc_id in reach.  Null texts count as empty and empty texts get
     fingerprint zero, linked like any other.  Rows with equal fingerprints are one node from the
@@ -149,7 +154,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = nodes.where(F.col("node").isNotNull())
     comps = components(verified(dealt(cells(known)), distance))
     named = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "hash", "component_id")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, that stand for their group of near duplicates.
+
+    That is the row of the smallest id; of rows that share it, the one whose text has the smallest
+    hash.  Where no row of a group has an id, one row per fingerprint stays.
+    """
+    found = near_duplicates(docs)
+    named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    nameless = found.where("component_id IS NULL").groupBy("fp").agg(F.min("hash").alias("hash"))
+    stays = named.union(nameless.select(F.lit(None).cast("long").alias("doc_id"), "hash"))
+    stays = stays.select(row_key(F.col("doc_id"), F.col("hash")).alias("row_key")).distinct()
+    rows = docs.withColumn("row_key", row_key(F.col("doc_id").cast("long"), text_hash("text"))).join(stays, "row_key", "left_semi")
+    repeat = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    return rows.withColumn("repeat", repeat).where("repeat = 1").select(docs.columns)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), text.cast("string"))
 
 
 @query("op9_simhash")
