@@ -55,8 +55,8 @@ NOTHING = {True: -12.0, False: -1.0}
 ENDING = {True: -12.0, False: -1.0, " ": -4.0}
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKALIKES) + "¿…“”‘’«»–—"
 TRIPLE = re.compile(r"(.)\1\1")
-#: Distinct chunks that a task counts, or a worker keeps, at a time.
-KEPT = 200_000
+#: Distinct chunks that a task counts at a time, and that a worker keeps.
+COUNTED, KEPT = 400_000, 500_000
 
 
 def plain(chunk: str) -> str | None:
@@ -210,9 +210,9 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
         for _, c in rows_of(batches):
             for raw in c["raw"]:
                 chunks.update(raw.decode().lower().split())
-                if len(chunks) > KEPT:
+                if len(chunks) > COUNTED:
                     empty_out()
-            if len(grams) > KEPT:
+            if len(grams) > COUNTED:
                 yield rows()
         empty_out()
         yield rows()
@@ -247,7 +247,7 @@ def count_features(sample: DataFrame, trigrams: dict[str, int], settings: Settin
             for raw, toxic in zip(c["raw"], c["toxic"]):
                 words = {w for chunk in set(chunks_of(raw)) for w in model.words(chunk)}
                 counts[toxic > 0].update({f for w in words for f in features(w, settings.prefixes)})
-            if len(counts[0]) + len(counts[1]) > KEPT:
+            if len(counts[0]) + len(counts[1]) > COUNTED:
                 yield from feature_rows(counts)
         yield from feature_rows(counts)
 
