@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, embeddings, language, merkle, mixing, pii, secrets, simhash, toxicity  # noqa: F401
+from tidemark.llm import bpe, embeddings, language, licenses, merkle, mixing, pii, secrets, simhash, toxicity  # noqa: F401
 from tidemark.llm.registry import QUERIES, TWINS
 
 
