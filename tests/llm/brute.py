@@ -40,3 +40,55 @@ def personal(text):
         if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
             found.append((m.start(), 3, m.end(), "phone"))
     return found
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def simhash(text):
+    import xxhash
+
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reach(n, linked):
+    """Smallest index that each of n items leads to."""
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(n):
+            for j in range(n):
+                if linked(i, j) and label[j] < label[i]:
+                    label[i], changed = label[j], True
+    return label
+
+
+def edited(rows, likeness, fingerprint):
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    out = []
+    for i, (doc_id, text) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        changed = text[:len(text) - half] + after[:half]
+        a, b, c = map(fingerprint, (text, changed, after))
+        out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, likeness(a, b), likeness(a, c)))
+    return sorted(out, key=repr)
+
+
+def targets(sizes, weights=(5, 2, 1), share=1.5, repeats=2):
+    """Words wanted of each source by resharing what is above a limit, again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    fixed, want = {}, share * sum(sizes.values())
+    while True:
+        open_ = [s for s in names if s not in fixed]
+        left = want - sum(fixed.values())
+        goal = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        above = [s for s in open_ if goal[s] > repeats * sizes[s]]
+        if not above:
+            return {**fixed, **goal}
+        fixed.update({s: repeats * sizes[s] for s in above})

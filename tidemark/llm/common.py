@@ -31,6 +31,14 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Every fifth document by CRC-32 of its id; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -49,9 +49,10 @@ def words_of(raw: bytes) -> list[str]:
 
 
 def grams_of(word: str, longest: int) -> Iterator[str]:
+    """Its n-grams, with a mark at either end; the marks alone are none."""
     line = f"^{word}$"
     for n in range(1, longest + 1):
-        for i in range(len(line) - n + 1):
+        for i in range(n == 1, len(line) - n + 1 - (n == 1)):
             yield line[i:i + n]
 
 

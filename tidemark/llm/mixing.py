@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, table
+from tidemark.llm.common import WORD, table, unused
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -74,7 +74,7 @@ def permutations(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     The factor is the first number from a hashed one on that shares no divisor with the blocks.
     """
     blocks = F.ceil(F.col("source_size") / block)
-    below = F.least("blocks", F.lit(MULTIPLIER))
+    some = F.greatest("blocks", F.lit(1))  # a source without words has no block
 
     def divisor(a: Column, b: Column) -> Column:
         pair = F.struct(a.alias("a"), b.alias("b"))
@@ -82,8 +82,8 @@ def permutations(sources: DataFrame, block: int = BLOCK) -> DataFrame:
             F.struct(p["b"].alias("a"), (p["a"] % F.greatest(p["b"], F.lit(1))).alias("b"))), lambda p: p["a"])
 
     hashed = sources.withColumn("blocks", blocks).withColumns({
-        "least": F.greatest(F.lit(1), hash32(SEED, "factor", F.col("sid")) % below).cast("long"),
-        "shift": (hash32(SEED, "shift", F.col("sid")) % F.col("blocks")).cast("long"),
+        "least": F.greatest(F.lit(1), hash32(SEED, "factor", F.col("sid")) % F.least(some, F.lit(MULTIPLIER))).cast("long"),
+        "shift": (hash32(SEED, "shift", F.col("sid")) % some).cast("long"),
         "slots": F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0),
     })
     # No run of 128 numbers shares a divisor each with a number below 2^63.
@@ -150,7 +150,7 @@ def placed(sizes: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row: the words of it that the mix takes, repeats counted.
+    """(doc_id, source, size, source_size, target, taken) of every row: the words of it that the mix takes, repeats counted.
 
     No document is taken more than ``REPEATS`` times.  Null texts and texts without words have size 0
     and are never taken; rows without a source form one of their own, last in order.  Rows with equal
@@ -184,14 +184,15 @@ def remixed(docs: DataFrame) -> DataFrame:
     Rows without words carry no weight in a mix and stay as they are.
     """
     share = mixed(docs).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"))
-    share = share.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "share")
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("own_size", size)
-    on = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").cast("string").eqNullSafe(F.col("m_source")) & (
-        F.col("own_size") == F.col("m_size"))
+    names = [unused(docs, n) for n in ("mix_id", "mix_source", "mix_size", "mix_share", "own_size", "copy")]
+    mix_id, mix_source, mix_size, mix_share, own_size, copy = names
+    rows = docs.withColumn(own_size, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+    on = F.col("doc_id").eqNullSafe(F.col(mix_id)) & F.col("source").cast("string").eqNullSafe(F.col(mix_source)) & (
+        F.col(own_size) == F.col(mix_size))
     point = hash32(SEED, "copies", F.col("doc_id")) / F.lit(4294967296.0)
-    copies = F.when(F.col("own_size") == 0, 1).otherwise(F.floor(F.col("share") + point)).cast("int")
-    return rows.join(share, on).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+    copies = F.when(F.col(own_size) == 0, 1).otherwise(F.floor(F.col(mix_share) + point)).cast("int")
+    joined = rows.join(share.toDF(mix_id, mix_source, mix_size, mix_share), on)
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias(copy)).drop(copy)
 
 
 # The same draw in SQL.

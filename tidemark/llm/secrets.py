@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, unused
 from tidemark.llm.registry import query
 from tidemark.llm.spans import SPAN, apart, count, joined, listed, masked, matches, spans
 from tidemark.session import cut_lineage
@@ -47,17 +47,17 @@ def weak_spans(text: Column) -> Column:
     ])
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows' own columns and a key; rows of equal key are copies and have the same spans."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"span_id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "span_hash": F.xxhash64(whole)})
+def span_key(doc_id: str, text: str) -> tuple[Column, Column]:
+    """Two columns that tell rows apart; rows equal in both are copies and have the same spans."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, span_id, span_hash, base, weak): what the patterns propose in every whole text."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = keyed(docs, doc_id, text).select(
-        F.col(doc_id).alias("doc_id"), "span_id", "span_hash", base_spans(whole).alias("base"), weak_spans(whole).alias("weak"))
+    span_id, span_hash = span_key(doc_id, text)
+    found = docs.select(F.col(doc_id).alias("doc_id"), span_id.alias("span_id"), span_hash.alias("span_hash"),
+                        base_spans(whole).alias("base"), weak_spans(whole).alias("weak"))
     return found.withColumn("weak", apart(F.col("weak"), F.col("base")))
 
 
@@ -111,14 +111,16 @@ def redacted(docs: DataFrame, label: str = "[SECRET]", scope: int = SCOPE) -> Da
     A null text stays null.  All other columns and all rows stay as they are.
     """
     pairs = linked(cut_lineage(candidates(docs)), scope)
-    rows = keyed(docs, "doc_id", "text").join(pairs, ["span_id", "span_hash"], "left")
+    names = [unused(docs, n) for n in ("span_id", "span_hash", "linked", "all_spans")]
+    on_id, on_hash, extra, found = names
+    span_id, span_hash = span_key("doc_id", "text")
+    rows = docs.withColumns({on_id: span_id, on_hash: span_hash}).join(pairs.toDF(on_id, on_hash, extra), [on_id, on_hash], "left")
     whole = F.coalesce("text", F.lit(""))
-    marked = rows.withColumn("all_spans", joined([base_spans(whole), F.coalesce("linked", F.array().cast(SPAN))]))
-    text = F.when(F.col("text").isNotNull(), masked(whole, F.col("all_spans"), label))
-    marked = marked.withColumn("text", text)
+    rows = rows.withColumn(found, joined([base_spans(whole), F.coalesce(F.col(extra), F.array().cast(SPAN))]))
+    rows = rows.withColumn("text", F.when(F.col("text").isNotNull(), masked(whole, F.col(found), label)))
     if "n_chars" in docs.columns:
-        marked = marked.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    return marked.select(docs.columns)
+        rows = rows.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    return rows.select(docs.columns)
 
 
 @query("op7_secrets")

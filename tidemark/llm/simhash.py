@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, rows_of, table, text_bytes
+from tidemark.llm.common import components, rows_of, table, text_bytes, unused
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -167,10 +167,11 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("hash").alias("hash"))
     nameless = found.where("component_id IS NULL").groupBy("fp").agg(F.min("hash").alias("hash"))
     stays = named.union(nameless.select(F.lit(None).cast("long").alias("doc_id"), "hash"))
-    stays = stays.select(row_key(F.col("doc_id"), F.col("hash")).alias("row_key")).distinct()
-    rows = docs.withColumn("row_key", row_key(F.col("doc_id").cast("long"), text_hash("text"))).join(stays, "row_key", "left_semi")
-    repeat = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    return rows.withColumn("repeat", repeat).where("repeat = 1").select(docs.columns)
+    key, repeat = unused(docs, "row_key"), unused(docs, "repeat")
+    stays = stays.select(row_key(F.col("doc_id"), F.col("hash")).alias(key)).distinct()
+    rows = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), text_hash("text"))).join(stays, key, "left_semi")
+    number = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return rows.withColumn(repeat, number).where(F.col(repeat) == 1).select(docs.columns)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

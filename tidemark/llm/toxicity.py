@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, rows_of, table, text_bytes
+from tidemark.llm.common import held_out, rows_of, table, text_bytes, unused
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -232,7 +232,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     share = min(1.0, limit / max(1, known.count()))
     taken = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # About ``limit`` rows of two numbers at any size of the corpus.
-    joined = docs.join(F.broadcast(taken), docs["doc_id"] == F.col("label_id")).select(text_bytes(), "toxic")
+    texts = docs.select("doc_id", text_bytes())
+    joined = texts.join(F.broadcast(taken), texts["doc_id"] == F.col("label_id")).select("raw", "toxic")
     return joined.groupBy("raw").agg(F.max("toxic").alias("toxic"))
 
 
@@ -358,8 +359,8 @@ def scores(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) ->
 def kept(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """The rows of ``docs``, unchanged, whose score is below one half."""
     score = scorer(fit(docs, labels, settings))
-    marked = docs.withColumn("toxicity_score", score(text_bytes()))
-    return marked.where("toxicity_score < 0.5").drop("toxicity_score")
+    name = unused(docs, "toxicity_score")
+    return docs.withColumn(name, score(text_bytes())).where(F.col(name) < 0.5).drop(name)
 
 
 @query("op8_toxicity")
