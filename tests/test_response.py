@@ -152,8 +152,6 @@ def test_scenarios(spark):
         curves, S.Scenario("x", "", {"google": 2.0}, {1: -5.0})).collect()}
     assert custom[0].new_daily_spend == 400.0 and custom[1].new_daily_spend == 0.0
     assert custom[1].projected_daily_revenue == 0.0
-    nested = S.nested_projections(S.project_spend(curves, S.STANDARD_SCENARIOS), top_n=1)
-    assert nested.count() == 5 and all(len(r.campaign_projections) == 1 for r in nested.collect())
 
 
 def test_risks_and_recommendations(spark):

@@ -17,9 +17,25 @@ LOW_UTILIZATION = 0.3
 # ---------------------------------------------------------------------------------------
 
 
-def _first_ids(curves: DataFrame, condition: Column) -> Column:
-    """At most LIST_CAP campaign ids, smallest first; the cut happens before anything is collected."""
-    few = curves.filter(condition).select("campaign_id").orderBy("campaign_id").limit(LIST_CAP)
+def _low(curves: DataFrame) -> Column:
+    """Spend far below the portfolio's mean."""
+    mean = curves.agg(F.avg("avg_daily_spend")).scalar()
+    return F.coalesce(F.col("avg_daily_spend") < F.lit(LOW_UTILIZATION) * mean, F.lit(False))
+
+
+def campaign_buckets(curves: DataFrame) -> DataFrame:
+    """(campaign_id, bucket): every campaign that is saturated, has headroom or is little used; one row per bucket."""
+    buckets = {"saturated": F.col("saturation_score") >= SATURATED, "has_headroom": F.col("saturation_score") < HEADROOM,
+               "low_utilization": _low(curves)}
+    named = F.array(*[F.when(c, F.lit(name)) for name, c in buckets.items()])
+    return curves.select("campaign_id", F.explode(F.array_compact(named)).alias("bucket"))
+
+
+def _leading_ids(buckets: DataFrame | None, bucket: str) -> Column:
+    """The first ids of a bucket, for the document only; the cut happens before anything is collected."""
+    if buckets is None:
+        return F.array().cast("array<string>")
+    few = buckets.filter(F.col("bucket") == bucket).select("campaign_id").orderBy("campaign_id").limit(LIST_CAP)
     return few.agg(F.array_sort(F.collect_list(F.col("campaign_id").cast("string")))).scalar()
 
 
@@ -31,10 +47,14 @@ def _platform_map(df: DataFrame, value: str) -> Column:
 
 def context_summary(fc: DataFrame, curves: DataFrame, allocation: DataFrame | None = None,
                     days: int = 7) -> DataFrame:
-    """Totals, changes, maps and capped lists of the portfolio in one row."""
+    """Totals, changes, maps and counts of the portfolio in one row; the campaigns counted are in ``campaign_buckets``."""
     recent = fc.filter(in_last("date", last_date(fc), days))
     change = two_periods(fc, "p50", days)
-    spend, n = curves.agg(total("avg_daily_spend")).scalar(), curves.agg(F.count(F.lit(1))).scalar()
+    # One pass over the curves gives everything about them.
+    of_curves = curves.agg(F.struct(
+        total("avg_daily_spend").alias("spend"), total("avg_daily_revenue").alias("revenue"),
+        F.count_if(F.col("saturation_score") >= SATURATED).alias("saturated"),
+        F.count_if(F.col("saturation_score") < HEADROOM).alias("headroom"), F.count_if(_low(curves)).alias("low"))).scalar()
     totals = recent.agg(total("p50").alias("total_p50"), total("p10").alias("total_p10"),
                         total("p90").alias("total_p90"))
     top = top_campaigns(fc, TOP_CAMPAIGNS, days)
@@ -44,18 +64,16 @@ def context_summary(fc: DataFrame, curves: DataFrame, allocation: DataFrame | No
     top_list = top.agg(best_first.alias("l")).select(F.transform("l", lambda t: F.struct(
         t["campaign_id"].alias("campaign_id"), t["revenue"].alias("revenue"), t["share_pct"].alias("share_pct")
     ))).scalar()
-    low = F.col("avg_daily_spend") < F.lit(LOW_UTILIZATION) * (spend / F.greatest(n, F.lit(1)))
     columns = {
         "revenue_wow_change_pct": change.select(ratio0(F.col("recent") - F.col("prior"), "prior", 100.0)).scalar(),
-        "total_daily_spend": spend,
-        "current_roas": curves.agg(total("avg_daily_revenue").alias("r"), total("avg_daily_spend").alias("s"))
-        .select(ratio0("r", "s")).scalar(),
+        "total_daily_spend": of_curves["spend"],
+        "current_roas": ratio0(of_curves["revenue"], of_curves["spend"]),
         "revenue_by_platform": _platform_map(recent, "p50"),
         "spend_by_platform": _platform_map(curves, "avg_daily_spend"),
         "top_campaigns": top_list,
-        "saturated": _first_ids(curves, F.col("saturation_score") >= SATURATED),
-        "has_headroom": _first_ids(curves, F.col("saturation_score") < HEADROOM),
-        "low_utilization": _first_ids(curves, low),
+        "n_saturated": of_curves["saturated"],
+        "n_headroom": of_curves["headroom"],
+        "n_low_utilization": of_curves["low"],
     }
     for name, source in (("lift_pct", "revenue_lift_pct"), ("lift_abs", "revenue_lift"), ("risk_score", "risk_score")):
         columns[name] = F.lit(0.0) if allocation is None else allocation.select(source).scalar()
@@ -73,8 +91,8 @@ def _records(df: DataFrame | None, fields: dict[str, Column | str], cap: int) ->
 
 
 def context_json(summary: DataFrame, insights: DataFrame | None = None, risks: DataFrame | None = None,
-                 recs: DataFrame | None = None) -> DataFrame:
-    """The summary and the leading insights, risks and recommendations as one JSON document."""
+                 recs: DataFrame | None = None, buckets: DataFrame | None = None) -> DataFrame:
+    """The summary and the leading campaigns, insights, risks and recommendations as one JSON document."""
     def r(c, digits):
         return F.round(c, digits)
 
@@ -93,7 +111,7 @@ def context_json(summary: DataFrame, insights: DataFrame | None = None, risks: D
             r("lift_pct", 2).alias("lift_pct"), r("lift_abs", 2).alias("lift_abs"),
             r("risk_score", 3).alias("risk_score"),
         ).alias("optimization"),
-        F.struct("saturated", "has_headroom", "low_utilization").alias("saturation"),
+        F.struct(*[_leading_ids(buckets, b).alias(b) for b in ("saturated", "has_headroom", "low_utilization")]).alias("saturation"),
         _records(insights, {
             "type": "type", "severity": "severity", "title": "title", "metric": "metric_name",
             "value": r("metric_value", 3), "unit": "metric_unit",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +27,6 @@ BING_CHANNELS = {
     "Audience": "UpperFunnel",
 }
 MICROS = 1_000_000.0
-PLATFORMS = ("google", "meta", "bing")
 # ---------------------------------------------------------------------------------------
 
 
@@ -100,17 +97,16 @@ def harmonize_bing(raw: DataFrame) -> DataFrame:
     })
 
 
-def flag_maturity(df: DataFrame, days: int = MATURITY_DAYS, roles: Roles = PANEL,
-                  platforms: Sequence[str] = PLATFORMS, of: DataFrame | None = None) -> DataFrame:
-    """Mature = at least ``days`` before the platform's own last day.
+def flag_maturity(df: DataFrame, days: int = MATURITY_DAYS, roles: Roles = PANEL, of: DataFrame | None = None) -> DataFrame:
+    """Mature = at least ``days`` before the platform's own last day, whatever the platform's name.
 
-    The last days come back as one scalar map with an entry per named platform.  Neither a window
-    nor a join by platform is involved: either would send a whole platform to one task.  ``of`` may
-    name a cheaper frame with the same last days.
+    The last days come back as one scalar map with an entry per platform.  Neither a window nor a
+    join by platform is involved: either would send a whole platform to one task.  ``of`` may name a
+    cheaper frame with the same last days.  A null platform gives a null flag.
     """
     platform, date = F.col(roles.platform), F.col(roles.date)
-    entries = [e for p in platforms for e in (F.lit(p), F.max(F.when(platform == p, date)))]
-    last_days = (df if of is None else of).agg(F.create_map(*entries)).scalar()
+    by_platform = (df if of is None else of).filter(platform.isNotNull()).groupBy(platform.alias("p")).agg(F.max(date).alias("d"))
+    last_days = by_platform.agg(F.map_from_entries(F.collect_list(F.struct("p", "d")))).scalar()
     return df.withColumn(roles.mature, date <= F.date_sub(F.try_element_at(last_days, platform), days))
 
 

@@ -17,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 BINS_PER_E_FOLD = 400.0  # 0.25 % wide bins
 OFFSET = 1_000_000       # separates negative, zero and positive bins
+BROADCAST_SEGMENTS = 100_000
 
 
 def _bin(v: Column) -> Column:
@@ -85,5 +88,12 @@ def baseline_quantiles(df: DataFrame, by: list[str], value: str = "revenue_attri
 
 
 def apply_baseline(df: DataFrame, quantiles: DataFrame, by: list[str]) -> DataFrame:
-    """Score rows with segment quantiles."""
-    return repair_quantiles(df.join(quantiles.select(*by, "p10", "p50", "p90"), by, "left"))
+    """Score rows with segment quantiles.
+
+    The quantiles are stored and counted first.  Up to ``BROADCAST_SEGMENTS`` rows of three numbers go
+    to the rows by broadcast, so that these are not shuffled by a handful of segments; more segments
+    than that are many enough to shuffle by.
+    """
+    stored = cut_lineage(quantiles.select(*by, "p10", "p50", "p90"))
+    few = stored.count() <= BROADCAST_SEGMENTS
+    return repair_quantiles(df.join(F.broadcast(stored) if few else stored, by, "left"))

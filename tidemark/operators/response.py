@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.errors import CurveError
 from tidemark.functions import curves as C
 from tidemark.functions.exprs import is_mature, ratio0, require_columns
 from tidemark.functions.text import fill, fixed
@@ -209,8 +208,3 @@ def attach_operating_point(params: DataFrame, points: DataFrame) -> DataFrame:
 
 def current_spend(curves: DataFrame) -> DataFrame:
     return curves.select("campaign_id", "avg_daily_spend")
-
-
-def require_curves(curves: DataFrame) -> None:
-    if curves.isEmpty():
-        raise CurveError("no response curves")

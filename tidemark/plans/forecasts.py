@@ -64,17 +64,14 @@ def fold_assign(spark, d):
 
 @query("leakage_check", ["n_folds", "n_overlaps", "n_shared"], ctes=FOLDS_SQL, source="""(
     SELECT count(*) AS n_folds, count(*) FILTER (train_end >= val_start) AS n_overlaps,
-      (SELECT count(*) FROM facts v WHERE v.date BETWEEN (SELECT max(val_start) FROM folds) AND (SELECT max(val_end) FROM folds)
-         AND EXISTS (SELECT 1 FROM facts t WHERE t.attribution_mature AND t.date < (SELECT max(val_start) FROM folds)
-                     AND t.campaign_id = v.campaign_id AND t.date = v.date)) AS n_shared FROM folds)""")
+      (SELECT count(*) FROM facts v JOIN folds f ON v.date BETWEEN f.val_start AND f.val_end
+         WHERE EXISTS (SELECT 1 FROM facts t WHERE t.attribution_mature AND t.date < f.val_start
+                       AND t.campaign_id = v.campaign_id AND t.date = v.date)) AS n_shared FROM folds)""")
 def leakage_check(spark, d):
-    """Bounds of every fold, and the rows its last fold would share between both sides."""
+    """Bounds of every fold, and the rows that any fold would share between both sides."""
     rows = V.stored_facts(spark, d)
     folds = B.rolling_origin_folds(rows)
-    start = folds.agg(F.max("val_start")).scalar()
-    end = folds.agg(F.max("val_end")).scalar()
-    val = rows.filter(F.col("date").between(start, end))
-    shared = B.shared_rows(B.train_rows(rows, start), val, ["campaign_id", "date"])
+    shared = B.shared_rows(rows, B.assign_validation_folds(rows, folds), ["campaign_id", "date"])
     return folds.agg(F.count(F.lit(1)).alias("n_folds")).select(
         "n_folds", B.leakage_violations(folds).agg(F.count(F.lit(1))).scalar().alias("n_overlaps"),
         shared.agg(F.count(F.lit(1))).scalar().alias("n_shared"))
@@ -109,13 +106,14 @@ def quantile_repair(spark, d):
 
 
 METRICS_SQL = f"""{FOLDS_SQL}, seasonal AS (
-  SELECT platform, weekday, quantile_cont(revenue_attributed, 0.1) AS p10,
+  SELECT fold_id AS fold, platform, weekday, quantile_cont(revenue_attributed, 0.1) AS p10,
          quantile_cont(revenue_attributed, 0.5) AS p50, quantile_cont(revenue_attributed, 0.9) AS p90
-  FROM (SELECT *, isodow(date) - 1 AS weekday FROM facts WHERE attribution_mature) GROUP BY platform, weekday
+  FROM (SELECT *, isodow(date) - 1 AS weekday FROM facts WHERE attribution_mature) f JOIN folds ON f.date < val_start
+  GROUP BY fold_id, platform, weekday
 ), scored AS (
   SELECT fold_id, revenue_attributed AS y, p10, p50, p90
   FROM facts f JOIN folds ON f.date BETWEEN val_start AND val_end
-    JOIN seasonal s ON f.platform = s.platform AND isodow(f.date) - 1 = s.weekday WHERE attribution_mature
+    JOIN seasonal s ON fold_id = fold AND f.platform = s.platform AND isodow(f.date) - 1 = s.weekday WHERE attribution_mature
 ), per_fold AS (
   SELECT fold_id, count(*) AS n_val_mature, avg(abs(y - p50)) AS mae_p50, sqrt(avg((y - p50) * (y - p50))) AS rmse_p50,
     avg(abs(y - p50) / (abs(y) + 1)) * 100 AS mape_p50,
@@ -128,10 +126,13 @@ METRICS_SQL = f"""{FOLDS_SQL}, seasonal AS (
 
 
 def _baseline_metrics(spark, d):
+    """Each fold's validation rows scored with quantiles of the rows before it only."""
     rows = V.stored_facts(spark, d)
     mature = rows.filter("attribution_mature").withColumn("weekday", F.weekday("date"))
-    scored = Q.apply_baseline(mature, V.seasonal_quantiles(rows), ["platform", "weekday"])
-    return B.fold_metrics(B.assign_validation_folds(scored, B.rolling_origin_folds(rows)))
+    folds = cut_lineage(B.rolling_origin_folds(rows))
+    by = ["fold_id", "platform", "weekday"]
+    quantiles = Q.baseline_quantiles(B.assign_training_folds(mature, folds), by)
+    return B.fold_metrics(Q.apply_baseline(B.assign_validation_folds(mature, folds), quantiles, by))
 
 
 @query("metrics_by_fold", ["fold_id", "n_val_mature"], METRIC_NAMES, source="per_fold", ctes=METRICS_SQL)

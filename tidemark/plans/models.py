@@ -54,7 +54,7 @@ def backtest(spark, d):
 @query("forecast_rollout", _FORECAST_KEYS, ["p10", "p50", "p90"])
 def forecast_rollout(spark, d):
     fs = store(spark, d)
-    return O.forecast_rollout(fs, forest(fs), n_days=7)
+    return O.forecast_rollout(fs, forest(fs), n_days=14)
 
 
 def _allocation(spark, d, rows=None):
@@ -99,4 +99,4 @@ def context_json(spark, d):
     curves, allocation = _allocation(spark, d, rows)
     summary = X.context_summary(fc, curves, allocation.summary)
     return X.context_json(summary, I.all_insights(fc, rows), K.all_risks(rows, curves, fc),
-                          N.recommendations(allocation.table))
+                          N.recommendations(allocation.table), X.campaign_buckets(curves))

@@ -380,18 +380,23 @@ def quick_recommendations(spark, d):
     return N.quick_recommendations(cut_lineage(curves(spark, d)))
 
 
-@query("context_summary", ["top_ids", "saturated_ids", "headroom_ids", "low_ids", "platforms"],
+@query("campaign_buckets", ["campaign_id", "bucket"], ctes=CURVES_SQL, source="""(
+    SELECT campaign_id, 'saturated' AS bucket FROM curves WHERE saturation_score >= 0.75
+    UNION ALL SELECT campaign_id, 'has_headroom' FROM curves WHERE saturation_score < 0.4
+    UNION ALL SELECT campaign_id, 'low_utilization' FROM curves WHERE avg_daily_spend < 0.3 * (SELECT avg(avg_daily_spend) FROM curves))""")
+def campaign_buckets(spark, d):
+    return X.campaign_buckets(cut_lineage(curves(spark, d)))
+
+
+@query("context_summary", ["top_ids", "n_saturated", "n_headroom", "n_low_utilization", "platforms"],
        ["total_p50", "total_p10", "total_p90", "revenue_wow_change_pct", "total_daily_spend", "current_roas",
         "google_revenue", "meta_spend"], digits=2,
        ctes=f"{RECENT_SQL}, {CURVES_SQL.split(V.FACTS_SQL + ', ', 1)[1]}", source="""(
     SELECT (SELECT string_agg(campaign_id, ',' ORDER BY r DESC, campaign_id) FROM
         (SELECT campaign_id, round(sum(p50), 3) AS r FROM recent GROUP BY campaign_id ORDER BY r DESC, campaign_id LIMIT 5)) AS top_ids,
-      coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT CAST(campaign_id AS VARCHAR) AS c FROM curves
-        WHERE saturation_score >= 0.75 ORDER BY campaign_id LIMIT 10)), '') AS saturated_ids,
-      coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT CAST(campaign_id AS VARCHAR) AS c FROM curves
-        WHERE saturation_score < 0.4 ORDER BY campaign_id LIMIT 10)), '') AS headroom_ids,
-      coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT CAST(campaign_id AS VARCHAR) AS c FROM curves
-        WHERE avg_daily_spend < 0.3 * (SELECT avg(avg_daily_spend) FROM curves) ORDER BY campaign_id LIMIT 10)), '') AS low_ids,
+      (SELECT count(*) FROM curves WHERE saturation_score >= 0.75) AS n_saturated,
+      (SELECT count(*) FROM curves WHERE saturation_score < 0.4) AS n_headroom,
+      (SELECT count(*) FROM curves WHERE avg_daily_spend < 0.3 * (SELECT avg(avg_daily_spend) FROM curves)) AS n_low_utilization,
       (SELECT string_agg(platform, ',' ORDER BY platform) FROM (SELECT DISTINCT platform FROM recent)) AS platforms,
       (SELECT sum(p50) FROM recent) AS total_p50, (SELECT sum(p10) FROM recent) AS total_p10,
       (SELECT sum(p90) FROM recent) AS total_p90,
@@ -406,9 +411,7 @@ def context_summary(spark, d):
                                 cut_lineage(P.response_curves(rows, refinements=0)))
     return summary.select(
         F.concat_ws(",", F.transform("top_campaigns", lambda t: t["campaign_id"])).alias("top_ids"),
-        F.concat_ws(",", "saturated").alias("saturated_ids"),
-        F.concat_ws(",", "has_headroom").alias("headroom_ids"),
-        F.concat_ws(",", "low_utilization").alias("low_ids"),
+        "n_saturated", "n_headroom", "n_low_utilization",
         F.concat_ws(",", F.map_keys("revenue_by_platform")).alias("platforms"),
         "total_p50", "total_p10", "total_p90", "revenue_wow_change_pct", "total_daily_spend", "current_roas",
         F.col("revenue_by_platform")["google"].alias("google_revenue"),
