@@ -9,6 +9,8 @@ join the slots by number.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,6 @@ SHARE, REPEATS = 1.5, 2
 SEED = "mix"
 #: Sources up to which their table, of a few numbers each, is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
-#: Documents of a source whose places are summed up in one window.
-RUN = 20_000
 #: Multipliers of permutations stay below this, so that products of block numbers fit a long.
 MULTIPLIER = 4_194_304
 
@@ -136,7 +136,8 @@ def placed(sizes: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """
     names = sources.select(F.col("source").alias("name"), "sid")
     rows = sizes.where("size > 0").join(F.broadcast(names) if few else names, F.col("source").eqNullSafe(F.col("name")))
-    stretches = max(1, -(-sizes.count() // RUN))
+    # As many stretches as a stretch has rows, so that neither window grows faster than the root of the rows.
+    stretches = max(1, math.isqrt(sizes.count()))
     rows = rows.select("doc_id", "sid", "size", hash32(F.col("doc_id")).alias("u")).withColumn(
         "stretch", F.floor(F.col("u") * stretches / F.lit(4294967296.0)))
     sums = rows.groupBy("sid", "stretch").agg(F.sum("size").alias("words"))
