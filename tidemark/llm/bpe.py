@@ -24,7 +24,7 @@ from tidemark.llm.common import rows_of, table, text_bytes
 from tidemark.llm.registry import query
 
 #: Entries that a worker keeps; beyond them it encodes anew, so memory stays bounded.
-KEPT_WORDS, KEPT_FRAGMENTS, KEPT_LENGTH = 400_000, 20_000, 64
+KEPT_WORDS, KEPT_FRAGMENTS, KEPT_LENGTH = 300_000, 20_000, 64
 #: Symbols up to which a fragment's ranks are searched through instead of queued.
 SHORT = 48
 #: The end of a word, which belongs to the last symbol of its last fragment.

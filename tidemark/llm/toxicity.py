@@ -56,7 +56,7 @@ ENDING = {True: -12.0, False: -1.0, " ": -4.0}
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKALIKES) + "¿…“”‘’«»–—"
 TRIPLE = re.compile(r"(.)\1\1")
 #: Distinct chunks that a task counts at a time, and that a worker keeps.
-COUNTED, KEPT = 400_000, 500_000
+COUNTED, KEPT = 200_000, 300_000
 
 
 def plain(chunk: str) -> str | None:
