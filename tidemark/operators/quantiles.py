@@ -14,6 +14,8 @@ costs no more than the others.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,19 @@ def apply_baseline(df: DataFrame, quantiles: DataFrame, by: list[str]) -> DataFr
     stored = cut_lineage(quantiles.select(*by, "p10", "p50", "p90"))
     few = stored.count() <= BROADCAST_SEGMENTS
     return repair_quantiles(df.join(F.broadcast(stored) if few else stored, by, "left"))
+
+
+@dataclass
+class SegmentQuantiles:
+    """The model-free forecast as a model: quantiles of the training rows by segment."""
+
+    quantiles: DataFrame
+    by: list[str]
+
+    @staticmethod
+    def fit(train: DataFrame, by: list[str], value: str = "revenue_attributed") -> SegmentQuantiles:
+        return SegmentQuantiles(cut_lineage(baseline_quantiles(train, by, value)), by)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """All input columns plus p10, p50, p90; NULL where the segment was not seen."""
+        return apply_baseline(df, self.quantiles, self.by)
