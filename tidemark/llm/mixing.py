@@ -18,7 +18,7 @@ from tidemark.llm.common import WORD, table, unused
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
-BLOCK = 64
+BLOCK = 32
 #: Slots of a shard, and the number of shards beyond which shards hold more slots instead.
 SHARD_SLOTS, MOST_SHARDS = 1_024, 100_000
 WEIGHTS = (5, 2, 1)
