@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import branches, features, forecasts, ingest, models, products, response  # noqa: F401
+from tidemark.plans import branches, features, forecasts, ingest, models, moves, products, response  # noqa: F401
 from tidemark.plans.registry import QUERIES
 
 
