@@ -9,7 +9,8 @@ from tidemark.operators import backtest as B
 from tidemark.operators import features as O
 from tidemark.operators import rollout as R
 from tidemark.operators import insights as I
-from tidemark.operators.forest import ForestConfig, QuantileForest, feature_columns, fit_quantile_forest, history_columns
+from tidemark.operators.forest import ForestConfig, QuantileForest, feature_columns, fit_quantile_forest, history_columns, splits
+from tidemark.operators.quantiles import SegmentQuantiles
 from tidemark.roles import ROLLING_SPEC, lag_columns, rolling_columns
 
 SMALL = ForestConfig(trees=4, depth=4)
@@ -72,8 +73,8 @@ def test_rollout_active_filter_and_errors(store):
     stopped = store.filter("campaign_id <> 1 OR date < DATE '2024-03-01'")
     assert R.forecast_rollout(stopped, LastDayPlus(), n_days=1).count() == 3
     assert R.forecast_rollout(stopped, LastDayPlus(), n_days=1, active_within_days=30).count() == 2
-    with pytest.raises(ValueError):
-        R.forecast_rollout(store, LastDayPlus(), n_days=0)
+    for none in (R.forecast_rollout(store, LastDayPlus(), n_days=0), R.forecast_rollout(store.filter("false"), LastDayPlus())):
+        assert none.columns == R.FORECAST_COLUMNS and none.count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -101,7 +102,55 @@ def test_forest_round_trip_and_importance(store, model, spark, tmp_path):
     few = store.filter("date = DATE '2024-04-01'").orderBy("campaign_id")
     assert [r.p50 for r in again.predict(few).collect()] == [r.p50 for r in model.predict(few).collect()]
     imp = model.importance(spark).collect()
-    assert len(imp) == 86 and sum(r.mean_imp for r in imp) == pytest.approx(1.0)
+    assert len(imp) == 86
+    for column in ("p10_imp", "p50_imp", "p90_imp", "mean_imp"):
+        assert sum(r[column] for r in imp) == pytest.approx(1.0)
+    assert any(r.p10_imp != r.p90_imp for r in imp)
+
+
+def test_printed_trees_are_read_in_order():
+    printed = """Tree
+  If (feature 3 <= 0.5)
+   If (feature 1 <= 2.0)
+    Predict: 1.0
+   Else (feature 1 > 2.0)
+    Predict: 2.0
+  Else (feature 3 > 0.5)
+   Predict: 3.0
+"""
+    assert splits(printed) == [(1, [0], [1]), (3, [0, 1], [2])]
+    assert splits("Tree\n  Predict: 1.0\n") == []
+
+
+def test_forest_beats_quantiles_out_of_sample(spark):
+    """On later days than it was fitted on, over series with a weekly rhythm, level shifts and noise."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(12):
+        level = rng.uniform(100, 1000)
+        for i in range(300):
+            level = max(20.0, level * float(rng.normal(1.0, 0.03)))
+            revenue = max(0.0, level * (1.0 + 0.4 * (i % 7 >= 5)) + float(rng.normal(0, 0.15 * level)))
+            rows.append(("google" if c % 2 else "bing", c, f"Search_TM_Campaign_{c}", START + dt.timedelta(days=i), 50.0, revenue,
+                         1.0, 2.0, None, 100.0, "Search", None, None, True))
+    schema = ("platform string, campaign_id bigint, campaign_name string, date date, spend double, "
+              "revenue_attributed double, clicks double, impressions double, conversions double, daily_budget double, "
+              "channel_format string, reach double, video_views double, attribution_mature boolean")
+    fs = O.build_feature_store(spark.createDataFrame(rows, schema)).cache()
+    folds = {"min_train": 240, "val": 30, "step": 30}
+    by = ["platform", "day_of_week"]
+    forest = B.backtest(fs, config=ForestConfig(), **folds).first()
+    plain = B.backtest(fs, fit=lambda rows: SegmentQuantiles.fit(rows, by), **folds).first()
+    for metric in ("pinball_p10", "pinball_p50", "pinball_p90"):
+        assert forest[metric] < plain[metric], metric
+    assert 0.65 <= forest["coverage_80"] <= 0.95
+
+
+def test_train_from_exports_and_from_a_store(spark, store, tmp_path):
+    store.write.parquet(str(tmp_path / "store"))
+    assert B.load_store(spark, str(tmp_path / "store")).count() == store.count()
+    with pytest.raises(Exception):
+        B.load_store(spark, str(tmp_path / "nothing"))
 
 
 def test_train_writes_model_and_report(store, spark, tmp_path):

@@ -74,3 +74,10 @@ def test_meta_channel(spark, name, channel):
     from tidemark.functions.names import meta_channel
     df = spark.createDataFrame([(name,)], "n string")
     assert df.select(meta_channel("n")).first()[0] == channel
+
+
+def test_maturity_of_any_platform(spark):
+    rows = [(p, D(2024, 1, 1) + dt.timedelta(days=i)) for p, n in (("google", 40), ("somewhere", 20)) for i in range(n)] + [(None, D(2024, 1, 1))]
+    df = H.flag_maturity(spark.createDataFrame(rows, "platform string, date date"))
+    found = {r.platform: r.n for r in df.groupBy("platform").agg(F.count_if("attribution_mature").alias("n")).collect()}
+    assert found == {"google": 26, "somewhere": 6, None: 0}

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
+from tidemark.session import release as session_release
 from tidemark.sources import tables as T
 
 
@@ -47,3 +48,33 @@ def test_formats_by_suffix(two_campaigns, spark, tmp_path, suffix):
     path = str(tmp_path / f"x.{suffix}")
     getattr(two_campaigns.select("campaign_id", "date", "spend").write.option("header", True), suffix)(path)
     assert T.read_feature_store(spark, path).count() == 70
+
+
+def test_forecasts_do_not_shuffle_facts_by_segment(spark, two_campaigns):
+    from tidemark.operators.quantiles import SegmentQuantiles
+
+    rows = two_campaigns.selectExpr("*", "weekday(date) AS weekday")
+    scored = SegmentQuantiles.fit(rows, ["platform", "weekday"]).predict(rows)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from tidemark import session
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Fake)
+
+
+def test_stored_tables_can_be_released(two_campaigns):
+    stored = cut_lineage(two_campaigns)
+    session_release(stored)
+    assert not os.path.exists(stored.stored_at)

@@ -11,9 +11,14 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.errors import QualityError
 from tidemark.functions.dates import calendar_parts
 from tidemark.functions.exprs import ratio
+from tidemark.operators.backtest import score_recent
+from tidemark.operators.quality import forecast_violations
+from tidemark.operators.reports import union_future
 from tidemark.roles import LAG_SPEC, MOMENTUM_SPEC, PANEL, ROAS_LAGS, ROLLING_SPEC, Roles
 from tidemark.session import cut_lineage
 
@@ -75,6 +80,35 @@ def _step(state: DataFrame, day: dt.date) -> DataFrame:
     return out.withColumns(derived) if derived else out
 
 
+def carried(fs: DataFrame, model, roles: Roles = PANEL) -> DataFrame:
+    """The columns a step needs: keys, revenue, the model's inputs, and what those are derived from."""
+    features = getattr(model, "features", None)
+    if features is None:
+        return fs
+    wanted = {roles.entity, roles.name, roles.platform, roles.date, roles.revenue, *features}
+    wanted |= {f"{kind}_lag_{w}" for w in ROAS_LAGS if f"roas_lag_{w}" in features for kind in ("revenue", "spend")}
+    for w in MOMENTUM_SPEC["revenue"]:
+        if f"revenue_momentum_{w}" in features:
+            wanted |= {"revenue_lag_1", f"revenue_roll_mean_{w}"}
+    return fs.select(*[c for c in fs.columns if c in wanted])
+
+
+def _schema(fs: DataFrame, roles: Roles) -> T.StructType:
+    text, number = T.StringType(), T.DoubleType()
+    kinds = {"date": T.DateType(), "campaign_id": fs.schema[roles.entity].dataType, "campaign_name": text, "platform": text,
+             "is_future": T.BooleanType()}
+    return T.StructType([T.StructField(c, kinds.get(c, number)) for c in FORECAST_COLUMNS])
+
+
+def score_portfolio(fs: DataFrame, model, days: int = 30, n_days: int = 14) -> DataFrame:
+    """The scoring path: the last ``days`` of mature rows, then ``n_days`` ahead, as one checked forecast table."""
+    out = cut_lineage(union_future(score_recent(fs, model, days), forecast_rollout(fs, model, n_days)))
+    found = forecast_violations(out).first()
+    if found["n_crossings"] or found["n_negative_p50"]:
+        raise QualityError(f"forecast: {found['n_crossings']} crossings, {found['n_negative_p50']} negative P50")
+    return out
+
+
 def forecast_rollout(
     fs: DataFrame,
     model,
@@ -84,15 +118,14 @@ def forecast_rollout(
 ) -> DataFrame:
     """campaigns x days forecast rows after the last day of the whole feature store.
 
-    ``model`` is anything with ``predict(df) -> df + p10, p50, p90``.  Campaigns that stopped early
-    also roll from the global last day; ``active_within_days`` leaves them out.
+    ``model`` is anything with ``predict(df) -> df + p10, p50, p90``; if it names its ``features``, no
+    other measures are carried from day to day.  Campaigns that stopped early also roll from the
+    global last day; ``active_within_days`` leaves them out.  No days or an empty store give no rows.
     """
-    if n_days < 1:
-        raise ValueError(f"n_days must be positive, got {n_days}")
-    last_day = fs.agg(F.max(roles.date)).first()[0]
+    last_day = fs.agg(F.max(roles.date)).first()[0] if n_days > 0 else None
     if last_day is None:
-        raise ValueError("the feature store is empty")
-    state = rollout_state(fs, last_day, roles)
+        return fs.sparkSession.createDataFrame([], _schema(fs, roles))
+    state = rollout_state(carried(fs, model, roles), last_day, roles)
     if active_within_days is not None:
         state = state.filter(F.col(roles.date) > F.lit(last_day - dt.timedelta(days=active_within_days)))
     state = cut_lineage(state)

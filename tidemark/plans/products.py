@@ -15,7 +15,7 @@ from tidemark.operators import rollout as L
 from tidemark.operators.quantiles import SegmentQuantiles, repair_quantiles
 from tidemark.plans import forecasts as P
 from tidemark.plans import tables as V
-from tidemark.plans.features import feature_table
+from tidemark.plans.features import WINDOWED_SQL, feature_table
 from tidemark.plans.ingest import FACT_DOUBLES, FACT_KEYS, raw_exports
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage, shared_folder
@@ -111,14 +111,15 @@ def score_recent_seasonal(spark, d):
 class LagRule:
     """A linear rule over yesterday, last week and the trailing week."""
 
+    features = ("revenue_lag_1", "revenue_lag_7", "revenue_roll_mean_7")
+
     def predict(self, df):
         part = lambda c, w: F.coalesce(F.col(c), F.lit(0.0)) * w
         p50 = part("revenue_lag_1", 0.5) + part("revenue_lag_7", 0.2) + part("revenue_roll_mean_7", 0.2) + 10.0
         return repair_quantiles(df.withColumns({"p10": p50 * 0.8, "p50": p50, "p90": p50 * 1.25}))
 
 
-@query("rollout_rule", ["date", "campaign_id", "campaign_name", "platform", "is_future"], ["p10", "p50", "p90"], digits=3,
-       ctes=V.FACTS_SQL.replace("days AS", "RECURSIVE days AS", 1) + """, last_day AS (SELECT max(date) AS m FROM facts),
+STEPS_SQL = """last_day AS (SELECT max(date) AS m FROM facts),
     slots AS (SELECT campaign_id, campaign_name, platform, i FROM (SELECT DISTINCT campaign_id, campaign_name, platform FROM facts), range(60) r(i)),
     buffers AS (SELECT s.campaign_id, s.campaign_name, s.platform, list(f.revenue_attributed ORDER BY s.i DESC) AS buf
       FROM slots s CROSS JOIN last_day LEFT JOIN facts f ON f.campaign_id = s.campaign_id AND f.date = m - CAST(s.i AS INTEGER) GROUP BY ALL),
@@ -126,10 +127,24 @@ class LagRule:
       SELECT campaign_id, campaign_name, platform, 0 AS k, buf, CAST(NULL AS DOUBLE) AS p50 FROM buffers
       UNION ALL
       SELECT campaign_id, campaign_name, platform, k + 1, list_append(buf[2:], p), p FROM (
-        SELECT *, coalesce(buf[60], 0) * 0.5 + coalesce(buf[54], 0) * 0.2 + coalesce(list_avg(buf[54:60]), 0) * 0.2 + 10 AS p FROM steps WHERE k < 14))""",
-       source="""(SELECT CAST(m + k AS DATE) AS date, campaign_id, campaign_name, platform, true AS is_future, p50 * 0.8 AS p10, p50,
-         p50 * 1.25 AS p90 FROM steps, last_day WHERE k > 0)""")
+        SELECT *, coalesce(buf[60], 0) * 0.5 + coalesce(buf[54], 0) * 0.2 + coalesce(list_avg(buf[54:60]), 0) * 0.2 + 10 AS p FROM steps WHERE k < 14))"""
+ROLLED_SQL = """SELECT CAST(m + k AS DATE) AS date, campaign_id, campaign_name, platform, true AS is_future, CAST(NULL AS DOUBLE) AS revenue_attributed,
+  p50 * 0.8 AS p10, p50, p50 * 1.25 AS p90 FROM steps, last_day WHERE k > 0"""
+
+
+@query("rollout_rule", ["date", "campaign_id", "campaign_name", "platform", "is_future"], ["p10", "p50", "p90"], digits=3,
+       ctes=f"RECURSIVE {V.FACTS_SQL}, {STEPS_SQL}", source=f"({ROLLED_SQL})")
 def rollout_rule(spark, d):
     rows = V.stored_facts(spark, d).select("date", "campaign_id", "campaign_name", "platform", "revenue_attributed")
     lags = {c: F.lit(None).cast("double") for c in ("revenue_lag_1", "revenue_lag_7", "revenue_roll_mean_7")}
     return L.forecast_rollout(rows.withColumns(lags), LagRule())
+
+
+@query("scoring_path", ["date", "campaign_id", "campaign_name", "platform", "is_future"], ["revenue_attributed", "p10", "p50", "p90"], digits=3,
+       ctes=f"RECURSIVE {WINDOWED_SQL}, {STEPS_SQL}", source=f"""({ROLLED_SQL} UNION ALL
+    SELECT date, campaign_id, campaign_name, platform, false, revenue_attributed, p * 0.8, p, p * 1.25
+    FROM (SELECT *, coalesce(revenue_lag_1, 0) * 0.5 + coalesce(revenue_lag_7, 0) * 0.2 + coalesce(revenue_roll_mean_7, 0) * 0.2 + 10 AS p FROM moved)
+    WHERE attribution_mature AND date > (SELECT max(date) FROM facts WHERE attribution_mature) - 30)""")
+def scoring_path(spark, d):
+    """History scored with the stored features, then fourteen days ahead, in one table."""
+    return L.score_portfolio(cut_lineage(feature_table(spark, d)), LagRule())
