@@ -5,7 +5,8 @@ spend in its bounds that maximises revenue(x) - p * x, and the total falls as p
 evaluates a few dozen prices for all campaigns in one distributed aggregation and returns one sum
 per price to the driver, which narrows the bracket.  Each campaign's choice is global (S-shaped
 curves compare their lower bound with their concave branch), so there are no local optima; the
-jump an S-shaped campaign can make at the final price is closed explicitly.
+jump an S-shaped campaign can make at the final price is closed explicitly.  The price also gives an
+upper bound on revenue, and the summary says how near the allocation comes to it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ MAX_ROUNDS = 12
 BISECTIONS = 60
 SUM_BUCKETS = 4096
 TOLERANCE = 1e-9           # of the budget
+OPTIMAL_GAP = 1e-6         # of the revenue: what still counts as optimal
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,7 @@ class Allocation:
     summary: DataFrame
     converged: bool
     rounds: int
+    gap: float  # of revenue to its upper bound, as a share
 
 
 def spend_bounds(curves: DataFrame, constraints: DataFrame | None = None,
@@ -62,16 +65,14 @@ def spend_bounds(curves: DataFrame, constraints: DataFrame | None = None,
     return out.drop("_min", "_max")
 
 
-def _best_spend_udf():
-    """Vectorised choice of one campaign at one price.
+def _chooser():
+    """The best spend of campaigns at prices, over numpy arrays that broadcast against each other.
 
     Helpers are nested so that the function travels to the executors by value.
     """
     bisections = BISECTIONS
 
-    def best_spend(v: pd.Series, k: pd.Series, n: pd.Series, low: pd.Series, high: pd.Series,
-                   price: pd.Series) -> pd.Series:
-        v, k, n, low, high, price = (c.to_numpy(float) for c in (v, k, n, low, high, price))
+    def choose(v, k, n, low, high, price):
         with np.errstate(all="ignore"):
             def share(x):
                 return 1.0 / (1.0 + (x / k) ** -n)
@@ -86,20 +87,25 @@ def _best_spend_udf():
             # Right of the inflection the slope falls, so the price is met at most once there.
             knee = np.where(n > 1, k * np.maximum((n - 1.0) / (n + 1.0), 0.0) ** (1.0 / n), 0.0)
             start = np.clip(knee, low, high)
-            left, right = start.copy(), high.copy()
+            left, right = start + 0.0 * price, high + 0.0 * price
             for _ in range(bisections):
                 mid = 0.5 * (left + right)
                 rising = slope(mid) > price
                 left, right = np.where(rising, mid, left), np.where(rising, right, mid)
             top = np.where(slope(high) >= price, high, np.where(slope(start) <= price, start, 0.5 * (left + right)))
             gain = revenue(top) - revenue(low) - price * (top - low)
-            return pd.Series(np.where(gain > 0, top, low))
+            return np.where(gain > 0, top, low)
 
-    return F.pandas_udf(best_spend, DoubleType())
+    return choose
 
 
 def _priced(price: Column) -> Column:
-    return _best_spend_udf()("v_max", "k", "n", "low", "high", price)
+    choose = _chooser()
+
+    def best_spend(v: pd.Series, k: pd.Series, n: pd.Series, low: pd.Series, high: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series(choose(*(c.to_numpy(float) for c in (v, k, n, low, high, p))))
+
+    return F.pandas_udf(best_spend, DoubleType())("v_max", "k", "n", "low", "high", price)
 
 
 def _knee(k: float, n: float) -> float:
@@ -108,10 +114,16 @@ def _knee(k: float, n: float) -> float:
 
 
 def _totals(rows: DataFrame, prices: list[float]) -> dict[float, float]:
-    """Total chosen spend per price: one row per price comes back."""
-    grid = F.array(*[F.lit(float(p)) for p in prices])
-    out = rows.withColumn("price", F.explode(grid)).groupBy("price").agg(F.sum(_priced(F.col("price"))).alias("x"))
-    return {r["price"]: r["x"] for r in out.collect()}
+    """Total chosen spend per price.  A batch of campaigns meets all prices at once and leaves one sum each."""
+    choose, grid = _chooser(), np.array(prices, float)
+
+    def sums(batches):
+        for b in batches:
+            columns = [b[c].to_numpy(float)[:, None] for c in ("v_max", "k", "n", "low", "high")]
+            yield pd.DataFrame({"price": grid, "x": choose(*columns, grid[None, :]).sum(axis=0)})
+
+    out = rows.select("v_max", "k", "n", "low", "high").mapInPandas(sums, "price double, x double")
+    return {r["price"]: r["x"] for r in out.groupBy("price").agg(F.sum("x").alias("x")).collect()}
 
 
 def _bracket(rows: DataFrame, budget: float) -> tuple[float, float, int]:
@@ -172,9 +184,13 @@ def _split_campaign(filled: DataFrame, budget: float):
     ).first()
 
 
-def _search(rows: DataFrame, budget: float) -> tuple[DataFrame, int]:
+def _search(rows: DataFrame, budget: float) -> tuple[DataFrame, int, float]:
+    """Allocation, rounds, and the revenue that no allocation can pass: what all campaigns earn above the
+    price at their best, and the price of the budget."""
     cheap, dear, rounds = _bracket(rows, budget)
-    return _fill(rows, cheap, dear, budget), rounds
+    filled = _fill(rows, cheap, dear, budget)
+    bound = filled.agg(F.sum(C.hill("_dn") - F.lit(dear) * F.col("_dn"))).first()[0] + dear * budget
+    return filled, rounds, bound
 
 
 def _with_bounds(rows: DataFrame, ident, low: float, high: float) -> DataFrame:
@@ -184,23 +200,25 @@ def _with_bounds(rows: DataFrame, ident, low: float, high: float) -> DataFrame:
     )
 
 
-def optimise(rows: DataFrame, budget: float) -> tuple[DataFrame, int]:
-    """Rows with ``optimal_spend``.  A split S-shaped campaign is also tried on either branch."""
-    best, rounds = _search(rows, budget)
-    split = _split_campaign(best, budget)
-    if split is None:
-        return best, rounds
+def optimise(rows: DataFrame, budget: float) -> tuple[DataFrame, int, float]:
+    """Rows with ``optimal_spend``, rounds, and how far their revenue may be from the best, as a share of it.
+
+    A split S-shaped campaign is also tried on either branch.
+    """
+    best, rounds, bound = _search(rows, budget)
     options = [best]
-    knee = min(max(_knee(split["k"], split["n"]), split["low"]), split["high"])
-    for low, high in ((knee, split["high"]), (split["low"], split["_dn"])):
-        bounded = _with_bounds(rows, split["campaign_id"], low, high)
-        reach = bounded.agg(F.sum("low"), F.sum("high")).first()
-        if reach[0] <= budget <= reach[1]:
-            option, more = _search(bounded, budget)
-            options.append(option)
-            rounds += more
+    split = _split_campaign(best, budget)
+    if split is not None:
+        knee = min(max(_knee(split["k"], split["n"]), split["low"]), split["high"])
+        for low, high in ((knee, split["high"]), (split["low"], split["_dn"])):
+            bounded = _with_bounds(rows, split["campaign_id"], low, high)
+            reach = bounded.agg(F.sum("low"), F.sum("high")).first()
+            if reach[0] <= budget <= reach[1]:
+                option, more, _ = _search(bounded, budget)
+                options.append(option)
+                rounds += more
     worth = [o.agg(F.sum(C.hill("optimal_spend"))).first()[0] for o in options]
-    return options[int(np.argmax(worth))], rounds
+    return options[int(np.argmax(worth))], rounds, max(0.0, bound - max(worth)) / max(abs(bound), 1e-300)
 
 
 def allocate_budget(
@@ -224,12 +242,12 @@ def allocate_budget(
     rows = bounded.withColumn("high", F.greatest(F.least("high", F.lit(budget)), F.col("low")))
     feasible = totals["low"] <= budget <= totals["high"]
     if feasible:
-        filled, rounds = optimise(rows, budget)
+        filled, rounds, gap = optimise(rows, budget)
     else:
         edge = "low" if budget < totals["low"] else "high"
-        filled, rounds = rows.withColumn("optimal_spend", F.col(edge)), 0
+        filled, rounds, gap = rows.withColumn("optimal_spend", F.col(edge)), 0, 0.0
     table = allocation_table(filled)
-    return Allocation(table, allocation_summary(table, budget, feasible, rounds), feasible, rounds)
+    return Allocation(table, allocation_summary(table, budget, feasible, rounds, gap), feasible, rounds, gap)
 
 
 def allocation_table(filled: DataFrame) -> DataFrame:
@@ -253,7 +271,7 @@ def allocation_table(filled: DataFrame) -> DataFrame:
     )
 
 
-def allocation_summary(table: DataFrame, budget: float, feasible: bool = True, rounds: int = 0) -> DataFrame:
+def allocation_summary(table: DataFrame, budget: float, feasible: bool = True, rounds: int = 0, gap: float = 0.0) -> DataFrame:
     x = F.col("optimal_spend")
     sums = table.agg(
         F.sum("baseline_revenue").alias("baseline_total_revenue"),
@@ -278,7 +296,8 @@ def allocation_summary(table: DataFrame, budget: float, feasible: bool = True, r
         weighted_risk("total_budget", "_sat", "_unreliable", "_squares").alias("risk_score"),
         (F.lit(feasible) & (error <= F.col("total_budget") * 1e-6)).alias("converged"),
         F.lit(rounds).alias("n_iterations"),
-        F.when(F.lit(feasible), "optimal").otherwise("budget outside the spend bounds").alias("solver_message"),
+        F.lit("budget outside the spend bounds" if not feasible else "optimal" if gap <= OPTIMAL_GAP
+              else f"within {gap:.1e} of the upper bound").alias("solver_message"),
         "budget_allocated",
         error.alias("budget_error"),
     )
