@@ -11,6 +11,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tidemark.plans import catalog
+from tidemark.plans.tables import drop_stored_facts
 
 HEADLINE = [
     "harmonize_union", "campaign_dimension", "holiday_calendar", "lag_features", "rolling_mean", "momentum",
@@ -48,6 +49,7 @@ def main() -> None:
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")),
     }))
+    drop_stored_facts()
     spark.stop()
     shutil.rmtree(folder, ignore_errors=True)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.harmonize import flag_maturity
 from tidemark.operators.quantiles import apply_baseline, baseline_quantiles
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, release
 
 PLATFORMS = ["bing", "google", "meta"]
 
@@ -124,9 +124,23 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), of=last_days)
 
 
+#: Facts tables of this process, by Spark application and data folder.
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts written once as a table, for plans that read them more than once."""
-    return cut_lineage(facts(spark, sf_dir))
+    """Facts for plans that read them more than once: a table that is written on first use and then shared."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(facts(spark, sf_dir))
+    # Read anew each time, so that a plan can join the facts with themselves.
+    return spark.read.schema(_STORED[key].schema).parquet(_STORED[key].stored_at)
+
+
+def drop_stored_facts() -> None:
+    """Delete the shared tables; their queries write them again when next used."""
+    while _STORED:
+        release(_STORED.popitem()[1])
 
 
 # ---- forecasts ---------------------------------------------------------------------------
