@@ -100,13 +100,17 @@ def harmonize_bing(raw: DataFrame) -> DataFrame:
 def flag_maturity(df: DataFrame, days: int = MATURITY_DAYS, roles: Roles = PANEL, of: DataFrame | None = None) -> DataFrame:
     """Mature = at least ``days`` before the platform's own last day, whatever the platform's name.
 
-    The last days come back as one scalar map with an entry per platform.  Neither a window nor a
-    join by platform is involved: either would send a whole platform to one task.  ``of`` may name a
+    The last days come back as one scalar map with an entry per platform.  No shuffle is keyed by
+    platform alone, which would send a whole platform to one task.  ``of`` may name a
     cheaper frame with the same last days.  A null platform gives a null flag.
     """
     platform, date = F.col(roles.platform), F.col(roles.date)
-    by_platform = (df if of is None else of).filter(platform.isNotNull()).groupBy(platform.alias("p")).agg(F.max(date).alias("d"))
-    last_days = by_platform.agg(F.map_from_entries(F.collect_list(F.struct("p", "d")))).scalar()
+    pairs = (df if of is None else of).filter(platform.isNotNull()).select(platform.alias("p"), date.alias("d")).distinct()
+    # At most one pair for each platform and calendar day.
+    seen = pairs.agg(F.collect_list(F.struct("p", "d")).alias("seen"))
+    days_of = lambda p: F.transform(F.filter("seen", lambda x: x["p"] == p), lambda x: x["d"])
+    names = F.array_distinct(F.transform("seen", lambda x: x["p"]))
+    last_days = seen.select(F.map_from_entries(F.transform(names, lambda p: F.struct(p, F.array_max(days_of(p)))))).scalar()
     return df.withColumn(roles.mature, date <= F.date_sub(F.try_element_at(last_days, platform), days))
 
 
