@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import context as X
 from tidemark.operators import insights as I
 from tidemark.operators import reports as R
+from tidemark.operators import response as H
 from tidemark.operators import risks as K
 from tidemark.operators.features import budget_features
 from tidemark.plans import forecasts as P
@@ -92,3 +93,17 @@ def campaign_buckets_steep(spark, d):
       count(*) FILTER (saturation_score < 0.4) AS n_headroom FROM steep)""")
 def portfolio_kpis_steep(spark, d):
     return R.portfolio_kpis(_steep(spark, d))
+
+
+# ---- spends that no curve can be fitted to -----------------------------------------------------------------------
+
+_FLAT = """CASE campaign_id % 3 WHEN 0 THEN CASE WHEN spend > 0 THEN 100.0 ELSE 0.0 END
+  WHEN 1 THEN CASE WHEN month(date) = 1 AND day(date) = 1 THEN spend ELSE 0.0 END ELSE spend END"""
+
+
+@query("fit_hill_flat", C._FIT_KEYS, ["slope", "k", "n", "r_squared"], source="(SELECT *, v_max / k AS slope FROM fit)",
+       ctes=f"{V.FACTS_SQL}, flat AS (SELECT * REPLACE ({_FLAT} AS spend) FROM facts), {C.HILL_SQL.replace('FROM facts', 'FROM flat')}")
+def fit_hill_flat(spark, d):
+    """A third of the campaigns spends the same every day, a third on New Year only: both fall back to a line."""
+    fit = H.fit_hill(V.stored_facts(spark, d).withColumn("spend", F.expr(_FLAT)), refinements=0)
+    return fit.withColumn("slope", F.col("v_max") / F.col("k"))
