@@ -33,21 +33,28 @@ CHUNK = 16_384
 CELL = 1_024
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of a text's word shingles, repeats included; zero if it has no word."""
+def hash_chunks(raw: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, repeats included, ``CHUNK`` at a time; nothing if it has no word."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()]
     ends = [*gaps.tolist(), len(line)]
     n = max(1, len(words) - shingle + 1)
     ends = ends[min(shingle, len(words)) - 1:]
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         spans = zip(starts[at:min(at + CHUNK, n)], ends[at:at + CHUNK])
-        hashes = np.array([digest(line[s:e], SEED) for s, e in spans], "<u8")
+        yield np.array([digest(line[s:e], SEED) for s, e in spans], "<u8")
+
+
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of a text's word shingles, repeats included; zero if it has no word."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in hash_chunks(raw, shingle):
+        n += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
@@ -163,7 +170,11 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     That is the row of the smallest id; of rows that share it, the one whose text has the smallest
     hash.  Where no row of a group has an id, one row per fingerprint stays.
     """
-    found = near_duplicates(docs)
+    return distinct_rows(docs, near_duplicates(docs))
+
+
+def distinct_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``distinct_documents`` for the groups (doc_id, fp, hash, component_id) in ``found``."""
     named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("hash").alias("hash"))
     nameless = found.where("component_id IS NULL").groupBy("fp").agg(F.min("hash").alias("hash"))
     stays = named.union(nameless.select(F.lit(None).cast("long").alias("doc_id"), "hash"))
