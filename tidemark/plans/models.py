@@ -21,8 +21,6 @@ from tidemark.session import cut_lineage
 
 #: The operator's own forest, fitted on a bounded sample of the training rows.
 SAMPLED = ForestConfig(max_rows=100_000)
-#: A first fold after five years and one a year from then on: all of them are evaluated.
-FOLDS = {"min_train": 1800, "step": 360}
 
 
 def store(spark, d):
@@ -50,7 +48,7 @@ def feature_importance(spark, d):
 
 @query("backtest", ["fold_id", "train_start", "train_end", "val_start", "val_end", "n_train", "n_val_mature"], METRIC_NAMES)
 def backtest(spark, d):
-    return B.backtest(store(spark, d), config=SAMPLED, **FOLDS)
+    return B.backtest(store(spark, d), config=SAMPLED)
 
 
 @query("forecast_rollout", _FORECAST_KEYS, ["p10", "p50", "p90"])
