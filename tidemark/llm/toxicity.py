@@ -3,6 +3,8 @@
 Chunks that are not plain words (digits or signs for letters, letters set apart, letters repeated)
 are read as a lattice of characters, and Viterbi decoding under a character trigram model finds the
 likeliest plain text.  Words of the restored text then carry evidence from labelled documents.
+Words with a doubled letter and neighbouring chunks are decoded too where their folded form (look-alikes
+read, signs and repetitions gone) is that of a feature; no other reading of them could carry evidence.
 
 The trigram model counts all documents.  Labels are learned from a bounded sample of labelled rows
 (``Settings.labelled``) that are not held out.
@@ -14,7 +16,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -55,6 +57,10 @@ NOTHING = {True: -12.0, False: -1.0}
 ENDING = {True: -12.0, False: -1.0, " ": -4.0}
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKALIKES) + "¿…“”‘’«»–—"
 TRIPLE = re.compile(r"(.)\1\1")
+REPEATED = re.compile(r"(.)\1+")
+ACROSS = re.compile(r"(.) \1")
+#: Each letter or look-alike as one of its readings, the letters of one look-alike alike; signs go.
+FOLDED = str.maketrans({**{c: "" for c in EDGES}, **{c: x[0] for c, x in LOOKALIKES.items()}, "l": "i", "£": "i"})
 #: Distinct chunks that a task counts at a time, and that a worker keeps.
 COUNTED, KEPT = 200_000, 300_000
 
@@ -83,6 +89,51 @@ def chunks_of(raw: bytes) -> list[str]:
     return chunks
 
 
+def folded(text: str) -> str:
+    return REPEATED.sub(r"\1", text.translate(FOLDED))
+
+
+class Lexicon:
+    """The features in folded form, and which stretches of neighbouring chunks may hold a word among them."""
+
+    def __init__(self, features: Iterable[str]) -> None:
+        self.features = {folded(f.strip()) for f in features}
+        self.words = {folded(f.strip()) for f in features if f.endswith(" ")}
+        self.kept: dict[str, str] = {}
+        self.beginnings = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
+
+    def doubled(self, word: str, prefixes: tuple[int, ...]) -> bool:
+        """Whether a word with a doubled letter may stand for one with features."""
+        if not REPEATED.search(word):
+            return False
+        short = folded(word)
+        return short in self.words or any(short[:n] in self.features for n in range(2, max(prefixes, default=0) + 1))
+
+    def stretches(self, chunks: list[str]) -> Iterator[str]:
+        """Two or more neighbouring chunks, a space between them, that fold to a known word."""
+        parts = " ".join(chunks).split(" ")
+        begins, words, kept, short = self.beginnings, self.words, self.kept, []
+        for part in parts:
+            fold = kept.get(part)
+            if fold is None:
+                fold = folded(part)
+                if len(kept) < KEPT and len(part) <= 64:
+                    kept[part] = fold
+            short.append(fold)
+        last = len(parts)
+        for at, begin in enumerate(short):
+            if begin not in begins:
+                continue
+            for end in range(at + 1, last):
+                more = short[end]
+                if more:
+                    begin += more[1:] if more[0] == begin[-1] else more
+                    if begin not in begins:
+                        break
+                    if begin in words:
+                        yield " ".join(parts[at:end + 1])
+
+
 class CharacterModel:
     """P(letter | two before), interpolated with the letter's own frequency; a space stands at both ends of words."""
 
@@ -92,14 +143,14 @@ class CharacterModel:
             self.two[gram[:2]] += n
             self.one[gram[2]] += n
         self.total = sum(self.one.values()) + len(self.one) + 1
-        self.log = lru_cache(1 << 17)(self.log)
+        self.log, self.joined = lru_cache(1 << 17)(self.log), {}
 
     def log(self, before: str, letter: str) -> float:
         base = (self.one.get(letter, 0) + 1) / self.total
         return math.log((self.three.get(before + letter, 0) + 5 * base) / (self.two.get(before, 0) + 5))
 
-    def restore(self, chunk: str) -> list[str]:
-        """Viterbi path through the chunk's lattice, as words.
+    def restore(self, chunk: str, repeats: int = 3) -> list[str]:
+        """Viterbi path through the chunk's lattice, as words; ``repeats`` equal letters or more may be repetitions.
 
         A state is the last two letters; each character is a letter, a repetition of the last one, a
         look-alike, a sign without meaning or the end of a word.
@@ -108,7 +159,7 @@ class CharacterModel:
         runs = [len(m[0]) for m in re.finditer(r"(?s)(.)\1*", chunk) for _ in m[0]]
         for at, (c, run) in enumerate(zip(chunk, runs)):
             letter, after = c.isalpha(), {}
-            again = at > 0 and chunk[at - 1] == c and run > (2 if letter else 1)
+            again = at > 0 and chunk[at - 1] == c and run >= (repeats if letter or repeats > 3 else 2)
 
             def offer(state: str, score: float, text: str) -> None:
                 if state not in after or after[state][0] < score:
@@ -128,14 +179,38 @@ class CharacterModel:
         best = max(states.items(), key=lambda s: (s[1][0] + (0.0 if s[0][1] == " " else self.log(s[0], " ")), s[1][1]))
         return best[1][1].split()
 
+    def readings(self, chunk: str, repeats: int) -> list[str]:
+        """Restored words; equal look-alikes in a row are one letter or as many, and both readings count."""
+        twice = self.restore(chunk, len(chunk) + 4) if any(m[1] in LOOKALIKES for m in REPEATED.finditer(chunk)) else []
+        return [*self.restore(chunk, repeats), *twice]
+
+    def doubled(self, chunk: str, lexicon: Lexicon, prefixes: tuple[int, ...]) -> list[str]:
+        """The restored words of a plain chunk with a doubled letter that may stand for a feature."""
+        word = plain(chunk)
+        return self.restore(word, 2) if word and lexicon.doubled(word, prefixes) else []
+
+    def rejoined(self, chunks: list[str], lexicon: Lexicon) -> set[str]:
+        """Restored words across neighbouring chunks, without the words that the chunks are by themselves."""
+        found: set[str] = set()
+        for stretch in set(lexicon.stretches(chunks)):
+            words = self.joined.get(stretch)
+            if words is None:
+                # A letter repeated on both sides of a gap is a repetition only without the gap.
+                whole = self.restore(stretch.replace(" ", ""), 2) if ACROSS.search(stretch) else []
+                words = {*self.readings(stretch, 2), *whole}.difference(stretch.split(" "))
+                if len(self.joined) < KEPT:
+                    self.joined[stretch] = words
+            found |= words
+        return found
+
     def words(self, chunk: str) -> list[str]:
         """The chunk's words: itself where plain, else the restored ones and the runs of letters as written."""
         word = plain(chunk)
         if word is not None:
             return [word] if word else []
-        if not any(c.isalpha() for c in chunk):
+        if not any(c.isalpha() or c in LOOKALIKES for c in chunk):
             return []
-        return list(dict.fromkeys([*self.restore(chunk), *re.findall(r"[^\W\d_]+", chunk)]))
+        return list(dict.fromkeys([*self.readings(chunk, 3), *re.findall(r"[^\W\d_]+", chunk)]))
 
 
 def features(word: str, prefixes: tuple[int, ...]) -> list[str]:
@@ -155,14 +230,21 @@ class Model:
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.letters, self.kept = model, CharacterModel(model.trigrams), {}
+        self.lexicon = Lexicon(model.weights)
+
+    def weight(self, word: str) -> float | None:
+        """The largest weight among a word's features."""
+        weights = [w for f in features(word, self.model.settings.prefixes) if (w := self.model.weights.get(f)) is not None]
+        return max(weights, default=None)
 
     def evidence(self, chunk: str) -> tuple[tuple[str, float], ...]:
         """Words of a chunk with the largest weight among their features; words without any are left out."""
         found = []
-        for word in self.letters.words(chunk):
-            weights = [w for f in features(word, self.model.settings.prefixes) if (w := self.model.weights.get(f)) is not None]
-            if weights:
-                found.append((word, max(weights)))
+        words = self.letters.words(chunk) + self.letters.doubled(chunk, self.lexicon, self.model.settings.prefixes)
+        for word in dict.fromkeys(words):
+            weight = self.weight(word)
+            if weight is not None:
+                found.append((word, weight))
         entry = tuple(found)
         if len(self.kept) < KEPT and len(chunk) <= 64:
             self.kept[chunk] = entry
@@ -174,6 +256,10 @@ class Scorer:
             entry = self.kept.get(chunk)
             for word, weight in self.evidence(chunk) if entry is None else entry:
                 words[word] = weight
+        for word in self.letters.rejoined(chunks, self.lexicon):
+            weight = self.weight(word)
+            if weight is not None:
+                words[word] = weight
         return probability(self.model.coefficients, inputs(list(words.values()), len(chunks), self.model.settings.top))
 
 
@@ -306,12 +392,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, known = CharacterModel(shared.value[0]), shared.value[1]
+        lexicon = Lexicon(known)
         for _, c in rows_of(batches):
             xs = []
             for raw, label in zip(c["raw"], c["toxic"]):
                 chunks, best = chunks_of(raw), []
-                for w in {w for chunk in set(chunks) for w in letters.words(chunk)}:
-                    found = [weight(known[f][0] - (label > 0), known[f][1] - (label <= 0), prior, settings.smoothing)
+                distinct = set(chunks)
+                words = {w for chunk in distinct for w in letters.words(chunk)}
+                own = {f for w in words for f in features(w, settings.prefixes)}
+                doubled = {w for chunk in distinct for w in letters.doubled(chunk, lexicon, settings.prefixes)}
+                for w in words | doubled | letters.rejoined(chunks, lexicon):
+                    found = [weight(known[f][0] - (f in own and label > 0), known[f][1] - (f in own and label <= 0), prior, settings.smoothing)
                              for f in features(w, settings.prefixes) if f in known]
                     if found and max(found) > 0:
                         best.append(max(found))
