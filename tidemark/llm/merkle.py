@@ -12,11 +12,11 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,36 +32,65 @@ RANGES = 4
 Tree = tuple[str, list[list[list[str]]]]
 
 
-def short_hash(piece: bytes) -> str:
-    return f"{xxhash.xxh32_intdigest(piece):08x}"
+#: Node hashes are written with other letters than leaves, so that leaves can be told apart.
+NODE = str.maketrans("0123456789abcdef", "ghijklmnopqrstuv")
+#: Characters of a section's and of a paragraph's hash in a fingerprint.
+SECTION_HASH, PARAGRAPH_HASH = 16, 8
+
+
+def digest_of(level: bytes, *below: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(below), digest_size=16, person=level).digest()
 
 
 def tree(raw: bytes) -> Tree:
-    """(root, sections of paragraphs of leaf hashes).  The root is a SHA-256 over the exact text's nodes."""
+    """(root, sections of paragraphs of leaf hashes, each section and paragraph after its own hash).
+
+    A leaf hashes its words, a paragraph its leaves, a section its paragraphs; the root is a SHA-256 over the sections.
+    """
     sections: list[list[list[str]]] = [[]]
-    upper = hashlib.sha256()
+    upper, below = hashlib.sha256(), []
+
+    def close() -> None:
+        node = digest_of(b"section", *below)
+        upper.update(node)
+        sections[-1].insert(0, [node.hex()[:SECTION_HASH].translate(NODE)])
+        below.clear()
+
     for line in raw.split(b"\n"):
         words = line.split(b" ")
-        leaves = [short_hash(b" ".join(words[i:i + RUN])) for i in range(0, len(words), RUN)] if line else []
-        digest = hashlib.blake2b(line, digest_size=16).digest()
-        upper.update(digest)
-        sections[-1].append(leaves)
+        leaves = [digest_of(b"leaf", b" ".join(words[i:i + RUN])) for i in range(0, len(words), RUN)] if line else []
+        digest = digest_of(b"paragraph", *leaves)
+        below.append(digest)
+        sections[-1].append([digest.hex()[:PARAGRAPH_HASH].translate(NODE), *[x.hex()[:8] for x in leaves]])
         if not line or digest[0] % SECTION == 0:
-            upper.update(b"|")
+            close()
             sections.append([])
-    if not sections[-1]:
+    if sections[-1]:
+        close()
+    else:
         sections.pop()
     return upper.hexdigest(), sections
 
 
 def written(t: Tree) -> str:
-    """The tree as a string: root, then sections apart by ``;``, paragraphs by ``,``, leaves of eight characters each."""
+    """The tree as a string: root, then sections apart by ``;``, in each its hash and its paragraphs apart by ``,``.
+
+    A paragraph is its hash and its leaves of eight characters each.
+    """
     return t[0] + "=" + ";".join(",".join("".join(p) for p in section) for section in t[1])
 
 
+def nodes(fingerprint: str) -> tuple[str, list[tuple[str, list[str]]]]:
+    """The root, and of every section its hash and those of its paragraphs."""
+    root, _, rest = fingerprint.partition("=")
+    split = [s.split(",") for s in rest.split(";")]
+    return root, [(s[0], [p[:PARAGRAPH_HASH] for p in s[1:]]) for s in split]
+
+
 def parsed(fingerprint: str) -> Tree:
+    """The root, and sections of paragraphs of leaves without the hashes above them."""
     root, _, rest = fingerprint.partition("=")
-    leaves = [[[p[i:i + 8] for i in range(0, len(p), 8)] for p in s.split(",")] for s in rest.split(";")]
+    leaves = [[[p[i:i + 8] for i in range(PARAGRAPH_HASH, len(p), 8)] for p in s.split(",")[1:]] for s in rest.split(";")]
     return root, leaves
 
 
@@ -75,22 +104,26 @@ def likeness(a: str, b: str) -> float:
     return min(2 * shared / total, 1 - 1e-9) if total else 0.0
 
 
-def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) places of ``b`` that ``a`` does not have; only differing sections are opened."""
-    (root_a, old), (root_b, new) = parsed(a), parsed(b)
+def edits(a: str, b: str) -> list[tuple[int, int, str]]:
+    """(section, paragraph, side) places at which ``b`` differs from ``a``, in order; only differing sections are opened.
+
+    Side ``new``: a paragraph of ``b`` that is put in, or put in the place of one of ``a``.  Side ``old``: one of
+    ``a`` that is gone, nothing being in its place.  A paragraph that moved is gone in ``a`` and put in in ``b``.
+    """
+    (root_a, old), (root_b, new) = nodes(a), nodes(b)
     if root_a == root_b:
         return []
-    known = Counter(tuple(map(tuple, s)) for s in old)
-    opened = [i for i, s in enumerate(new) if not take(known, tuple(map(tuple, s)))]
-    paragraphs = Counter(p for s, n in known.items() for p in s for _ in range(n))
-    return [(i, j) for i in opened for j, p in enumerate(new[i]) if not take(paragraphs, tuple(p))]
-
-
-def take(counts: Counter, key) -> bool:
-    if counts[key] > 0:
-        counts[key] -= 1
-        return True
-    return False
+    found = []
+    for how, i, k, j, m in SequenceMatcher(None, [s[0] for s in old], [s[0] for s in new], False).get_opcodes():
+        if how == "equal":
+            continue
+        left = [(x, at, p) for x in range(i, k) for at, p in enumerate(old[x][1])]
+        right = [(x, at, p) for x in range(j, m) for at, p in enumerate(new[x][1])]
+        for kind, c, d, e, f in SequenceMatcher(None, [p[2] for p in left], [p[2] for p in right], False).get_opcodes():
+            if kind != "equal":
+                found += [(x, at, "new") for x, at, _ in right[e:f]]
+                found += [(x, at, "old") for x, at, _ in left[c + f - e:d]]
+    return found
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,11 +137,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def located_edits(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
-    """``pairs`` of fingerprints with ``edits`` array<struct<section, paragraph>>; null where one of them is null."""
+    """``pairs`` of fingerprints with ``edits`` array<struct<section, paragraph, side>>; null where one of them is null."""
 
-    @F.pandas_udf("array<struct<section:int,paragraph:int>>")
+    @F.pandas_udf("array<struct<section:int,paragraph:int,side:string>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else [{"section": i, "paragraph": j} for i, j in edits(x, y)]
+        return pd.Series([None if x is None or y is None else [{"section": i, "paragraph": j, "side": s} for i, j, s in edits(x, y)]
                           for x, y in zip(a, b)], dtype="object")
 
     return pairs.withColumn("edits", run(F.col(old), F.col(new)))
