@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, embeddings, language, licenses, merkle, mixing, pii, secrets, simhash, toxicity  # noqa: F401
+from tidemark.llm import (  # noqa: F401
+    bpe, embeddings, language, licenses, merkle, mixing, pii, quality, ranking, repair, secrets, simhash, toxicity,
+)
 from tidemark.llm.registry import QUERIES, TWINS
 
 
