@@ -12,24 +12,21 @@ from tidemark.operators import reports as R
 from tidemark.operators import response as P
 from tidemark.operators import risks as K
 from tidemark.operators import rollout as O
-from tidemark.operators.forest import ForestConfig, fit_quantile_forest
+from tidemark.operators.forest import fit_quantile_forest
 from tidemark.operators.series import mature_rows
 from tidemark.plans import tables as V
 from tidemark.plans.features import feature_table
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 
-#: The operator's own forest, fitted on a bounded sample of the training rows.
-SAMPLED = ForestConfig(max_rows=100_000)
-
 
 def store(spark, d):
     """Feature store, materialised once: folds, fits and scoring all read it."""
     return cut_lineage(feature_table(spark, d))
 
 
-def forest(fs, config=SAMPLED):
-    return fit_quantile_forest(mature_rows(fs), config=config)
+def forest(fs):
+    return fit_quantile_forest(mature_rows(fs))
 
 
 _FORECAST_KEYS = ["date", "campaign_id", "campaign_name", "platform", "is_future"]
@@ -48,7 +45,7 @@ def feature_importance(spark, d):
 
 @query("backtest", ["fold_id", "train_start", "train_end", "val_start", "val_end", "n_train", "n_val_mature"], METRIC_NAMES)
 def backtest(spark, d):
-    return B.backtest(store(spark, d), config=SAMPLED)
+    return B.backtest(store(spark, d))
 
 
 @query("forecast_rollout", _FORECAST_KEYS, ["p10", "p50", "p90"])
