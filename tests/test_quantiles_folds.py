@@ -28,6 +28,51 @@ def test_exact_quantiles_match_numpy(spark):
             assert got[g][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-15)
 
 
+def test_crowded_bins_are_cut_again(spark, monkeypatch):
+    """A million distinct values inside one bin: no window gets more of them than a bin may hold."""
+    monkeypatch.setattr(Q, "CROWDED", 2_000)
+    n = 1_000_000
+    values = spark.range(n).select(F.lit("g").alias("g"), (F.lit(1000.0) + F.col("id") / F.lit(n)).alias("v"))
+    few = spark.createDataFrame([("h", 1.0 + 1e-13 * i) for i in range(5000)] + [("h", 7.0)] * 50, "g string, v double")
+    df = values.unionByName(few)
+    assert df.filter("g = 'g'").select(Q._bin(F.col("v")).alias("b")).distinct().count() == 1
+    probs = {"a": 0.1, "b": 0.5, "c": 0.9731}
+    got = {r.g: r for r in Q.exact_quantiles(df, ["g"], "v", probs).collect()}
+    for g, vs in (("g", 1000.0 + np.arange(n) / n), ("h", np.array([1.0 + 1e-13 * i for i in range(5000)] + [7.0] * 50))):
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(vs, p), rel=1e-14)
+
+
+@pytest.mark.parametrize("crowded", [50_000, 10])
+def test_prefix_quantiles_match_numpy(spark, monkeypatch, crowded):
+    """Quantiles of every prefix from one set of counts, with empty prefixes, ties and rows that no prefix holds."""
+    monkeypatch.setattr(Q, "CROWDED", crowded)
+    rng = np.random.default_rng(4)
+    rows = [(g, int(k), float(v)) for g, low in (("a", 0), ("b", 3)) for k, v in zip(
+        rng.integers(low, 8, 600), np.round(rng.normal(0, 3, 600), 1))] + [("a", 2, None)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    probs = {"lo": 0.1, "mid": 0.5, "hi": 0.95}
+    got = {(r.g, r.step): r for r in Q.prefix_quantiles(df, ["g"], "v", probs, "k", 6, "step").collect()}
+    assert set(got) == {("a", s) for s in range(6)} | {("b", s) for s in range(3, 6)}
+    for (g, s), r in got.items():
+        held = [v for x, k, v in rows if x == g and k <= s and v is not None]
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.quantile(held, p), rel=1e-12)
+
+
+def test_first_training_folds(panel):
+    folds = B.rolling_origin_folds(panel, min_train=90)
+    first = B.first_training_folds(panel, folds).groupBy("first_fold").count()
+    starts = [f.val_start for f in folds.orderBy("fold_id").collect()]
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(300)]
+    want = {}
+    for d in days:
+        held = [i for i, s in enumerate(starts) if d < s]
+        if held:
+            want[held[0]] = want.get(held[0], 0) + 3
+    assert {r.first_fold: r["count"] for r in first.collect()} == want
+
+
 def test_repair(spark):
     df = spark.createDataFrame([(5.0, 3.0, 1.0), (-4.0, -2.0, -1.0), (1.0, 2.0, 3.0)], "p10 double, p50 double, p90 double")
     assert [tuple(r) for r in Q.repair_quantiles(df).collect()] == [(3, 3, 3), (0, 0, 0), (1, 2, 3)]

@@ -10,6 +10,7 @@ from tidemark.operators import insights as I
 from tidemark.operators import quantiles as Q
 from tidemark.operators import reports as R
 from tidemark.operators import risks as K
+from tidemark.operators.backtest import score_segments
 from tidemark.operators.calendar import calendar_covering
 from tidemark.operators.features import budget_features, join_calendar
 from tidemark.plans import tables as V
@@ -127,12 +128,9 @@ METRICS_SQL = f"""{FOLDS_SQL}, seasonal AS (
 
 def _baseline_metrics(spark, d):
     """Each fold's validation rows scored with quantiles of the rows before it only."""
-    rows = V.stored_facts(spark, d)
-    mature = rows.filter("attribution_mature").withColumn("weekday", F.weekday("date"))
+    rows = V.stored_facts(spark, d).withColumn("weekday", F.weekday("date"))
     folds = cut_lineage(B.rolling_origin_folds(rows))
-    by = ["fold_id", "platform", "weekday"]
-    quantiles = Q.baseline_quantiles(B.assign_training_folds(mature, folds), by)
-    return B.fold_metrics(Q.apply_baseline(B.assign_validation_folds(mature, folds), quantiles, by))
+    return B.fold_metrics(score_segments(["platform", "weekday"])(rows, folds))
 
 
 @query("metrics_by_fold", ["fold_id", "n_val_mature"], METRIC_NAMES, source="per_fold", ctes=METRICS_SQL)

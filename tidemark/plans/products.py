@@ -83,9 +83,7 @@ def feature_store_check(spark, d):
 
 # ---- models that SQL can express ------------------------------------------------------------------------------
 
-_FOLDS = {"min_train": 1800, "step": 360}
 _SEASONAL = ["platform", "weekday"]
-_BACKTEST_SQL = P.METRICS_SQL.replace(P.folds_sql(), P.folds_sql(min_train=1800, step=360))
 
 
 def _weekdays(spark, d):
@@ -93,11 +91,11 @@ def _weekdays(spark, d):
 
 
 @query("backtest_seasonal", ["fold_id", "train_start", "train_end", "val_start", "val_end", "n_train", "n_val_mature"], METRIC_NAMES,
-       ctes=_BACKTEST_SQL, source="""(SELECT per_fold.*, CAST(train_start AS VARCHAR) AS train_start, CAST(train_end AS VARCHAR) AS train_end,
+       ctes=P.METRICS_SQL, source="""(SELECT per_fold.*, CAST(train_start AS VARCHAR) AS train_start, CAST(train_end AS VARCHAR) AS train_end,
          CAST(val_start AS VARCHAR) AS val_start, CAST(val_end AS VARCHAR) AS val_end, n_train FROM per_fold JOIN folds USING (fold_id))""")
 def backtest_seasonal(spark, d):
-    """Each fold fits the quantiles of its own training rows by platform and weekday."""
-    return B.backtest(_weekdays(spark, d), fit=lambda rows: SegmentQuantiles.fit(rows, _SEASONAL), **_FOLDS)
+    """Every fold of the default grid: the quantiles of its own training rows by platform and weekday."""
+    return B.backtest(_weekdays(spark, d), score=B.score_segments(_SEASONAL))
 
 
 @query("score_recent_seasonal", ["date", "campaign_id", "campaign_name", "platform", "is_future"],
