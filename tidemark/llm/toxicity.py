@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import held_out, rows_of, table, text_bytes, unused
 from tidemark.llm.registry import query
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, release
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,9 @@ class Settings:
     """Bounds of what is learned; none of them limits which documents or words are scored."""
 
     labelled: int = 20_000  # labelled rows to fit on, taken in the order of a hash of their ids
-    features: int = 100_000  # words and word beginnings that carry evidence
-    trigrams: int = 200_000  # of the character model
+    support: int = 50  # words and word beginnings in one of so many toxic texts (two at least) carry evidence
+    lift: float = 3.0  # by how much a feature raises the odds of a toxic text, at least
+    letters: int = 100_000_000  # a trigram or bigram counts if it stands for one of so many letters of the corpus
     prefixes: tuple[int, ...] = (4, 5, 6, 7)
     smoothing: float = 1.0  # documents that a feature counts as having been seen in before any
     top: int = 3  # words whose evidence enters a document's score
@@ -137,9 +138,9 @@ class Lexicon:
 class CharacterModel:
     """P(letter | two before), interpolated with the letter's own frequency; a space stands at both ends of words."""
 
-    def __init__(self, trigrams: dict[str, int]) -> None:
-        self.three, self.two, self.one = trigrams, Counter(), Counter()
-        for gram, n in trigrams.items():
+    def __init__(self, trigrams: dict[str, int], bigrams: dict[str, int] | None = None, letters: dict[str, int] | None = None) -> None:
+        self.three, self.two, self.one = trigrams, bigrams or Counter(), letters or Counter()
+        for gram, n in trigrams.items() if letters is None else ():
             self.two[gram[:2]] += n
             self.one[gram[2]] += n
         self.total = sum(self.one.values()) + len(self.one) + 1
@@ -213,6 +214,41 @@ class CharacterModel:
         return list(dict.fromkeys([*self.readings(chunk, 3), *re.findall(r"[^\W\d_]+", chunk)]))
 
 
+class Spelling:
+    """Whether any path through a chunk's lattice spells a feature; where none does, decoding it gives no evidence.
+
+    Features are a trie.  Words begin at the chunk's start or after a character that may end one; a letter
+    goes on or repeats the last one, a look-alike is any of its letters or nothing, a sign is nothing.
+    """
+
+    def __init__(self, features: Iterable[str]) -> None:
+        self.root: dict = {}
+        for feature in features:
+            node = self.root
+            for c in feature.strip():
+                node = node.setdefault(c, {})
+            node[""] = {}
+
+    def possible(self, chunk: str) -> bool:
+        root, before = self.root, ""
+        states = {id(root): root}
+        for c in chunk:
+            letter, after = c.isalpha(), {}
+            for state in states.values():
+                if not letter or c == before and state is not root:
+                    after[id(state)] = state
+                for x in c if letter else LOOKALIKES.get(c, ""):
+                    to = state.get(x)
+                    if to is not None:
+                        if "" in to:
+                            return True
+                        after[id(to)] = to
+            if not letter:
+                after[id(root)] = root
+            states, before = after, c
+        return False
+
+
 def features(word: str, prefixes: tuple[int, ...]) -> list[str]:
     """The word and its beginnings; a space marks a whole word."""
     return [word + " ", *[word[:n] for n in prefixes if n <= len(word)]]
@@ -225,42 +261,68 @@ class Model:
     coefficients: list[float]
     settings: Settings = SETTINGS
     key: str = field(default="")
+    bigrams: dict[str, int] | None = None
+    letters: dict[str, int] | None = None
+
+
+class Reader:
+    """Words of chunks that have features among ``known``; what chunks hold is worked out once."""
+
+    def __init__(self, letters: CharacterModel, known: dict, settings: Settings) -> None:
+        self.letters, self.known, self.settings = letters, known, settings
+        self.lexicon, self.spelling = Lexicon(known), Spelling(known)
+        self.kept: dict[str, tuple[list[str], list[str]]] = {}
+        self.empty: set[str] = set()
+
+    def telling(self, words: Iterable[str]) -> list[str]:
+        prefixes, known = self.settings.prefixes, self.known
+        return [w for w in dict.fromkeys(words) if any(f in known for f in features(w, prefixes))]
+
+    def words(self, chunk: str) -> tuple[list[str], list[str]]:
+        """(words of a chunk, words that it has only if a doubled letter is a repetition), as far as they have features."""
+        entry = self.kept.get(chunk)
+        if entry is not None:
+            return entry
+        word = plain(chunk)
+        if word is not None:
+            own = self.telling([word])
+            twice = self.telling(self.letters.doubled(chunk, self.lexicon, self.settings.prefixes))
+        else:
+            own = self.letters.words(chunk) if self.spelling.possible(chunk) else re.findall(r"[^\W\d_]+", chunk)
+            own, twice = self.telling(own), []
+        if len(chunk) <= 64:
+            if not own and not twice:
+                if len(self.empty) < 2 * KEPT:
+                    self.empty.add(chunk)
+            elif len(self.kept) < KEPT:
+                self.kept[chunk] = own, twice
+        return own, twice
+
+    def read(self, raw: bytes) -> tuple[int, set[str], set[str]]:
+        """(chunks of a text, its words, words that only repetitions or neighbouring chunks give), as far as they have features."""
+        chunks = chunks_of(raw)
+        own, more = set(), set()
+        for chunk in set(chunks).difference(self.empty):
+            a, b = self.words(chunk)
+            own.update(a)
+            more.update(b)
+        more.update(self.telling(self.letters.rejoined(chunks, self.lexicon)))
+        return len(chunks), own, more
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self.model, self.letters, self.kept = model, CharacterModel(model.trigrams), {}
-        self.lexicon = Lexicon(model.weights)
+        self.model, self.letters = model, CharacterModel(model.trigrams, model.bigrams, model.letters)
+        self.reader = Reader(self.letters, model.weights, model.settings)
 
-    def weight(self, word: str) -> float | None:
+    def weight(self, word: str) -> float:
         """The largest weight among a word's features."""
-        weights = [w for f in features(word, self.model.settings.prefixes) if (w := self.model.weights.get(f)) is not None]
-        return max(weights, default=None)
-
-    def evidence(self, chunk: str) -> tuple[tuple[str, float], ...]:
-        """Words of a chunk with the largest weight among their features; words without any are left out."""
-        found = []
-        words = self.letters.words(chunk) + self.letters.doubled(chunk, self.lexicon, self.model.settings.prefixes)
-        for word in dict.fromkeys(words):
-            weight = self.weight(word)
-            if weight is not None:
-                found.append((word, weight))
-        entry = tuple(found)
-        if len(self.kept) < KEPT and len(chunk) <= 64:
-            self.kept[chunk] = entry
-        return entry
+        weights = self.model.weights
+        return max(weights[f] for f in features(word, self.model.settings.prefixes) if f in weights)
 
     def score(self, raw: bytes) -> float:
-        chunks, words = chunks_of(raw), {}
-        for chunk in set(chunks):
-            entry = self.kept.get(chunk)
-            for word, weight in self.evidence(chunk) if entry is None else entry:
-                words[word] = weight
-        for word in self.letters.rejoined(chunks, self.lexicon):
-            weight = self.weight(word)
-            if weight is not None:
-                words[word] = weight
-        return probability(self.model.coefficients, inputs(list(words.values()), len(chunks), self.model.settings.top))
+        n_chunks, own, more = self.reader.read(raw)
+        return probability(self.model.coefficients, inputs([self.weight(w) for w in own | more], n_chunks, self.model.settings.top))
 
 
 def inputs(weights: list[float], n_chunks: int, top: int) -> list[float]:
@@ -323,16 +385,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     return joined.groupBy("raw").agg(F.max("toxic").alias("toxic"))
 
 
-def count_features(sample: DataFrame, trigrams: dict[str, int], settings: Settings) -> DataFrame:
-    """(feature, toxic, clean): documents of either label in which a feature occurs."""
-    letters = sample.sparkSession.sparkContext.broadcast(trigrams)
+def count_features(sample: DataFrame, counts: tuple[dict, dict, dict], settings: Settings) -> DataFrame:
+    """(feature, toxic, clean): documents of either label in which a feature occurs; ``counts`` are those of the character model."""
+    letters = sample.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = CharacterModel(letters.value)
+        model, kept = CharacterModel(*letters.value), {}
+
+        def words_of(chunk: str) -> list[str]:
+            found = kept.get(chunk)
+            if found is None:
+                found = model.words(chunk)
+                if len(kept) < KEPT and len(chunk) <= 64:
+                    kept[chunk] = found
+            return found
+
         counts = Counter(), Counter()
         for _, c in rows_of(batches):
             for raw, toxic in zip(c["raw"], c["toxic"]):
-                words = {w for chunk in set(chunks_of(raw)) for w in model.words(chunk)}
+                words = {w for chunk in set(chunks_of(raw)) for w in words_of(chunk)}
                 counts[toxic > 0].update({f for w in words for f in features(w, settings.prefixes)})
             if len(counts[0]) + len(counts[1]) > COUNTED:
                 yield from feature_rows(counts)
@@ -375,44 +446,63 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Mo
     toxic or without clean labels, every score is the share of toxic ones (0 if there are no labels).
     """
     spark = docs.sparkSession
-    grams = count_trigrams(docs).orderBy(F.desc("n"), "gram").limit(settings.trigrams).toPandas()
-    trigrams = dict(zip(grams.gram, grams.n.tolist()))
+    counts = character_counts(docs, settings)
     sample = cut_lineage(labelled_sample(docs, labels, settings.labelled))
     size = sample.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"), F.count("*").alias("n")).first()
     toxic, n = size.toxic or 0, size.n
     if not 0 < toxic < n:
         odds = 30.0 if toxic else -30.0
-        return Model(trigrams, {}, [odds, *[0.0] * (settings.top + 1)], settings)
+        release(sample)
+        return Model(counts[0], {}, [odds, *[0.0] * (settings.top + 1)], settings, "", *counts[1:])
     prior = toxic / n
-    counted = count_features(sample, trigrams, settings).where("toxic >= 2").where(
-        F.col("toxic") * (1 - prior) > F.col("clean") * prior)
-    counts = counted.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "feature").limit(settings.features).toPandas()
-    pairs = dict(zip(counts.feature, zip(counts.toxic.tolist(), counts.clean.tolist())))
-    shared = spark.sparkContext.broadcast((trigrams, pairs))
+    # Bounded by the sample: a text adds to few features, and each needs its share of the toxic texts.
+    known = count_features(sample, counts, settings).where(F.col("toxic") >= max(2, toxic // settings.support)).where(
+        F.col("toxic") * (1 - prior) > settings.lift * F.col("clean") * prior).toPandas()
+    pairs = dict(zip(known.feature, zip(known.toxic.tolist(), known.clean.tolist())))
+    shared = spark.sparkContext.broadcast((counts, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, known = CharacterModel(shared.value[0]), shared.value[1]
-        lexicon = Lexicon(known)
+        known = shared.value[1]
+        reader = Reader(CharacterModel(*shared.value[0]), known, settings)
         for _, c in rows_of(batches):
             xs = []
             for raw, label in zip(c["raw"], c["toxic"]):
-                chunks, best = chunks_of(raw), []
-                distinct = set(chunks)
-                words = {w for chunk in distinct for w in letters.words(chunk)}
+                n_chunks, words, more = reader.read(raw)
+                best = []
                 own = {f for w in words for f in features(w, settings.prefixes)}
-                doubled = {w for chunk in distinct for w in letters.doubled(chunk, lexicon, settings.prefixes)}
-                for w in words | doubled | letters.rejoined(chunks, lexicon):
+                for w in words | more:
                     found = [weight(known[f][0] - (f in own and label > 0), known[f][1] - (f in own and label <= 0), prior, settings.smoothing)
                              for f in features(w, settings.prefixes) if f in known]
                     if found and max(found) > 0:
                         best.append(max(found))
-                xs.append(inputs(best, len(chunks), settings.top))
+                xs.append(inputs(best, n_chunks, settings.top))
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array([int(t > 0) for t in c["toxic"]])], ["x", "y"])
 
     seen = sample.mapInArrow(run, "x array<double>, y long").toPandas()
     coefficients = fit_logistic(np.array(seen.x.tolist()), seen.y.to_numpy(float))
     weights = {f: w for f, (t, c) in pairs.items() if (w := weight(t, c, prior, settings.smoothing)) > 0}
-    return Model(trigrams, weights, coefficients, settings)
+    release(sample)
+    return Model(counts[0], weights, coefficients, settings, "", *counts[1:])
+
+
+def character_counts(docs: DataFrame, settings: Settings) -> tuple[dict[str, int], dict[str, int], dict[str, int]]:
+    """(trigrams, bigrams, letters) of all documents.
+
+    Bigrams and letters are added up from all trigrams.  Trigrams and bigrams rarer than one in ``settings.letters``
+    letters count as unseen: that share bounds what is collected, whatever the scripts, and spares none
+    that a corpus of fewer letters holds.
+    """
+    grams = cut_lineage(count_trigrams(docs))
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    least, n = total / settings.letters, F.sum("n").alias("n")
+    two = grams.groupBy(F.substring("gram", 1, 2).alias("gram")).agg(n).where(F.col("n") >= least)
+    one = grams.groupBy(F.substring("gram", 3, 1).alias("gram")).agg(n)
+    found = []
+    for counted in (grams.where(F.col("n") >= least), two, one):
+        rows = counted.toPandas()
+        found.append(dict(zip(rows.gram, rows.n.tolist())))
+    release(grams)
+    return found[0], found[1], found[2]
 
 
 #: One scorer per worker process and model, so that tasks share what it has kept.
