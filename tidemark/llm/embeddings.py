@@ -6,7 +6,9 @@ which no tried plane leaves most vectors on one side only stays a leaf, since sp
 lose links.  Vectors are compared within leaves; each link counts in the first leaf that holds both
 ends, so that no pair is written or counted twice.
 
-The planes are fitted on a bounded sample (``Settings.sample``); every vector is put into leaves.
+Vectors of different lengths never link, so every length has a forest of its own; a length with no
+more vectors than a leaf holds is one leaf.  The planes are fitted on a bounded sample
+(``Settings.sample``, ``Settings.sample_bytes``); every vector is put into leaves.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import components, table
 from tidemark.llm.registry import query
@@ -27,9 +30,10 @@ from tidemark.session import cut_lineage
 
 @dataclass(frozen=True)
 class Settings:
-    trees: int = 4
+    trees: int = 8
     leaf: int = 256  # vectors at which a node is not split further
-    sample: int = 50_000  # distinct vectors on which planes are fitted
+    sample: int = 50_000  # distinct vectors of a length on which planes are fitted
+    sample_bytes: int = 1 << 26  # and their bytes in all
     planes: int = 64  # random directions of each tree
     tries: int = 8  # directions looked at in a node
     spill: float = 0.3  # share of a node's vectors that may go to both sides
@@ -104,15 +108,21 @@ def grow(sample: np.ndarray, total: int, angle: float, settings: Settings, numbe
     return tree
 
 
-def units_of(raws: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), np.float64).reshape(len(raws), -1)
+def units_of(raws: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raws), kind).astype(np.float64).reshape(len(raws), -1)
     scale = np.abs(x).max(axis=1, keepdims=True)
     x = x / scale
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def classes(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, raw): every vector as the bytes of its doubles; null if it cannot link with anything."""
+def number_kind(vectors: DataFrame, embedding: str) -> str:
+    """Single precision where the column has it, so that vectors travel in half the bytes; else double."""
+    column = vectors.schema[embedding].dataType
+    return "f4" if isinstance(column, T.ArrayType) and isinstance(column.elementType, T.FloatType) else "f8"
+
+
+def classes(vectors: DataFrame, vec_id: str, embedding: str, kind: str) -> DataFrame:
+    """(vec_id, raw): every vector as the bytes of its numbers; null if it cannot link with anything."""
 
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
@@ -120,55 +130,73 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             if v is None:
                 return None
             try:
-                x = np.asarray(v, dtype=np.float64)
+                x = np.asarray(v, dtype=kind)
             except (TypeError, ValueError):  # a null component
                 return None
             return (x + 0.0).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None
 
         return pd.Series([one(v) for v in values], dtype="object")
 
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), run(F.col(embedding).cast("array<double>")).alias("raw"))
+    numbers = F.col(embedding).cast("array<float>" if kind == "f4" else "array<double>")
+    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), run(numbers).alias("raw"))
 
 
-def leaved(nodes: DataFrame, forest: list[Tree]) -> DataFrame:
-    """(leaf, node, weight, raw, leaves): a row for each leaf that a vector is in; ``leaves`` are all of them, ascending."""
-    shared = nodes.sparkSession.sparkContext.broadcast(forest)
+def leaved(nodes: DataFrame, forests: dict[int, list[Tree]], kind: str) -> DataFrame:
+    """(bytes, leaf, node, weight, raw, leaves): a row for each leaf that a vector is in; ``leaves`` are all of them, ascending.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units = units_of(batch.column(2).to_pylist())
-            pairs = [(np.full(len(rows), leaf, np.int32), rows) for t in shared.value for leaf, rows in t.leaves(units)]
-            leaf, row = (np.concatenate(x) for x in zip(*pairs))
-            order = np.lexsort((leaf, row))
-            leaf, row = leaf[order], row[order]
-            starts = np.searchsorted(row, np.arange(len(units) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(leaf))
-            take = pa.array(row)
-            columns = [pa.array(leaf), *[batch.column(i).take(take) for i in range(3)], lists.take(take)]
-            yield pa.RecordBatch.from_arrays(columns, ["leaf", "node", "weight", "raw", "leaves"])
+    ``forests`` are the trees of each length in bytes; vectors of other lengths share one leaf per length.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(forests)
+    names = ["bytes", "leaf", "node", "weight", "raw", "leaves"]
 
-    return nodes.select("node", "weight", "raw").mapInArrow(run, "leaf int, node long, weight long, raw binary, leaves array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mixed in batches:
+            sizes = np.array([len(raw) for raw in mixed.column(2).to_pylist()], np.int64)
+            for size in np.unique(sizes):
+                batch = mixed.filter(pa.array(sizes == size))
+                trees, n = shared.value.get(int(size)), batch.num_rows
+                if trees:
+                    units = units_of(batch.column(2).to_pylist(), kind)
+                    pairs = [(np.full(len(rows), leaf, np.int32), rows) for t in trees for leaf, rows in t.leaves(units)]
+                else:
+                    pairs = [(np.zeros(n, np.int32), np.arange(n))]
+                leaf, row = (np.concatenate(x) for x in zip(*pairs))
+                order = np.lexsort((leaf, row))
+                leaf, row = leaf[order], row[order]
+                starts = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(leaf))
+                # Long vectors in many leaves make large batches: a few thousand rows at a time.
+                step = max(1, (1 << 24) // int(size))
+                for lo in range(0, len(row), step):
+                    take = pa.array(row[lo:lo + step])
+                    columns = [pa.array(np.full(len(take), size, np.int32)), pa.array(leaf[lo:lo + step]),
+                               *[batch.column(i).take(take) for i in range(3)], lists.take(take)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return nodes.select("node", "weight", "raw").mapInArrow(
+        run, "bytes int, leaf int, node long, weight long, raw binary, leaves array<int>")
 
 
 def grouped(rows: DataFrame, block: int) -> DataFrame:
-    """Rows with (leaf, i, j): one group for a small leaf, a group for each pair of blocks of a large one."""
-    sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"))
-    # Leaves are nodes of trees over a bounded sample, and so is their table.
-    joined = rows.join(F.broadcast(sizes.withColumnRenamed("leaf", "s_leaf")), F.col("leaf") == F.col("s_leaf")).drop("s_leaf")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    """Rows with (bytes, leaf, i, j): one group for a small leaf, a group for each pair of blocks of a large one."""
+    sizes = rows.groupBy(F.col("bytes").alias("s_bytes"), F.col("leaf").alias("s_leaf")).agg(F.count("*").alias("n"))
+    # Only leaves to be cut into blocks: there are no more of them than nodes of trees over a bounded sample.
+    large = sizes.where(F.col("n") > block)
+    joined = rows.join(F.broadcast(large), (F.col("bytes") == F.col("s_bytes")) & (F.col("leaf") == F.col("s_leaf")), "left")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
     joined = joined.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, F.col("b")).alias("i"), F.greatest(x, F.col("b")).alias("j")))
-    return joined.withColumn("p", F.explode(pairs)).select("leaf", "p.i", "p.j", "b", "node", "weight", "raw", "leaves")
+    return joined.withColumn("p", F.explode(pairs)).select("bytes", "leaf", "p.i", "p.j", "b", "node", "weight", "raw", "leaves")
 
 
-def compare(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def compare(group: pd.DataFrame, cosine: float, kind: str) -> pd.DataFrame:
     """For each vector of a group: the links first met here (``n``), and the smallest vector that it leads to.
 
     Pairs inside one block belong to the group (i, i); a pair of blocks compares across only.
     """
     leaf, i, j = (int(group[c].iloc[0]) for c in ("leaf", "i", "j"))
-    units, nodes = units_of(group["raw"].tolist()), group["node"].to_numpy()
+    units, nodes = units_of(group["raw"].tolist(), kind), group["node"].to_numpy()
     near = units @ units.T >= cosine
     np.fill_diagonal(near, False)
     if i != j:
@@ -202,40 +230,50 @@ def compare(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return found[(found["n"] > 0) | (found["to"] != found["node"])]
 
 
+def fitted(nodes: DataFrame, cosine: float, settings: Settings, kind: str) -> dict[int, list[Tree]]:
+    """The forest of each length, in bytes, that has more vectors than a leaf holds."""
+    lengths = nodes.groupBy(F.length("raw").alias("bytes")).count().where(F.col("count") > settings.leaf).orderBy("bytes").collect()
+    forests: dict[int, list[Tree]] = {}
+    for bytes_, total in lengths:
+        most = max(1, min(settings.sample, settings.sample_bytes // len(lengths) // bytes_))
+        share = int(min(1.0, most / total) * 1_000_000)
+        mine = nodes.where((F.length("raw") == bytes_) & (F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < share))
+        taken = mine.orderBy("node").select("raw").toPandas()
+        if not len(taken):
+            continue
+        sample = units_of(taken["raw"].tolist(), kind)
+        forest: list[Tree] = []
+        for number in range(settings.trees):
+            forest.append(grow(sample, total, cosine, settings, number, max(forest[-1].leaf) + 1 if forest else 0))
+        forests[bytes_] = forest
+    return forests
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9,
                     settings: Settings = SETTINGS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links join vectors of cosine ``cosine`` or more.
 
     A forest may miss a link whose ends some plane parts in every tree; it never reports one below the
     threshold.  Equal vectors are one node with a weight, so that copies are not paired.  Vectors that
-    are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of
-    another length than the most frequent one.  Different vectors that share an id are one node, whose links add up.
+    are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
+    lengths do not link with each other.  Different vectors that share an id are one node, whose links add up.
     Rows with a null id get a null component and are not kept, but count as links.
     """
-    rows = cut_lineage(classes(vectors, vec_id, embedding))
-    lengths = rows.where("raw IS NOT NULL").groupBy(F.length("raw").alias("bytes")).count()
-    usual = lengths.orderBy(F.desc("count"), F.desc("bytes")).first()
-    alone = F.col("raw").isNull() if usual is None else F.col("raw").isNull() | (F.length("raw") != usual.bytes)
+    kind = number_kind(vectors, embedding)
+    rows = cut_lineage(classes(vectors, vec_id, embedding, kind))
+    alone = F.col("raw").isNull()
     nodes = cut_lineage(rows.where(~alone).groupBy("raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
                         .withColumn("node", F.coalesce("least", F.xxhash64("raw"))))
-    total = nodes.count()
+    forests = fitted(nodes, cosine, settings, kind)
+    placed = leaved(nodes, forests, kind)
+    met = cut_lineage(grouped(placed, settings.block).groupBy("bytes", "leaf", "i", "j").applyInPandas(
+        lambda g: compare(g, cosine, kind), "node long, n long, to long"))
+    links = met.groupBy("node").agg(F.sum("n").alias("n"))
+    comps = components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    named = nodes.join(links, "node", "left").join(comps, "node", "left").select(
+        "raw", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     result = rows.where(alone).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if total:
-        share = min(1.0, settings.sample / total)
-        taken = nodes.where(F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("node").select("raw").toPandas()
-        sample = units_of(taken["raw"].tolist()) if len(taken) else np.zeros((0, usual.bytes // 8))
-        forest: list[Tree] = []
-        for number in range(settings.trees):
-            first = max(forest[-1].leaf) + 1 if forest else 0
-            forest.append(grow(sample, total, cosine, settings, number, first))
-        placed = cut_lineage(leaved(nodes, forest))
-        met = cut_lineage(grouped(placed, settings.block).groupBy("leaf", "i", "j").applyInPandas(
-            lambda g: compare(g, cosine), "node long, n long, to long"))
-        links = met.groupBy("node").agg(F.sum("n").alias("n"))
-        comps = components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))
-        named = nodes.join(links, "node", "left").join(comps, "node", "left").select(
-            "raw", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-        result = result.union(rows.where(~alone).join(named, "raw").select("vec_id", "n_links", "component_id"))
+    result = result.union(rows.where(~alone).join(named, "raw").select("vec_id", "n_links", "component_id"))
     component = F.when(F.col("vec_id").isNotNull(), F.col("component_id"))
     return result.select("vec_id", "n_links", component.alias("component_id"),
                          F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
