@@ -9,7 +9,6 @@ is scored with it.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
 UNDETERMINED = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}+")
 
 
 @dataclass(frozen=True)
