@@ -27,6 +27,8 @@ USER = r"""(?i)\b(?:user(?:_?name)?|login|client_?id|account)["']?\x20*[:=]\x20*
 ENDPOINT = r"""(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+"""
 OPAQUE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 RANKS = {k: i for i, k in enumerate(("assign", "access", "hex", "user", "endpoint", "opaque"))}
+#: Kinds that may carry base spans inside, such as an address with its token.
+HOLDERS = ("endpoint",)
 IDENTIFIERS, SECRETS = ("access", "user"), ("assign", "hex", "opaque")
 
 
@@ -58,7 +60,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     span_id, span_hash = span_key(doc_id, text)
     found = docs.select(F.col(doc_id).alias("doc_id"), span_id.alias("span_id"), span_hash.alias("span_hash"),
                         base_spans(whole).alias("base"), weak_spans(whole).alias("weak"))
-    return found.withColumn("weak", apart(F.col("weak"), F.col("base")))
+    return found.withColumn("weak", apart(F.col("weak"), F.col("base"), HOLDERS))
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -97,7 +99,8 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope:
 
     Spans are (start, rank, end, kind) in code points, end exclusive, by start and then kind.  A null
     text counts as empty and has none.  Repeated rows come back as often as they occur; rows with a
-    null id are scanned like any other.  Weak candidates that overlap a base span are left out.
+    null id are scanned like any other.  Weak candidates that overlap a base span are left out,
+    but for endpoints, which may carry base spans and link with them.
     """
     found = cut_lineage(candidates(docs, doc_id, text))
     result = found.join(linked(found, scope), ["span_id", "span_hash"], "left")

@@ -54,9 +54,15 @@ def listed(found: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def apart(found: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(found, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+def apart(found: Column, others: Column, holders: tuple[str, ...] = ()) -> Column:
+    """The spans that overlap none of the others; those of a kind in ``holders`` only must not lie wholly inside one."""
+
+    def clash(s: Column, o: Column) -> Column:
+        overlap = (s["start"] < o["end"]) & (o["start"] < s["end"])
+        inside = (o["start"] <= s["start"]) & (s["end"] <= o["end"])
+        return overlap & (~s["kind"].isin(*holders) | inside) if holders else overlap
+
+    return F.filter(found, lambda s: ~F.exists(others, lambda o: clash(s, o)))
 
 
 def masked(text: Column, found: Column, label: str) -> Column:
