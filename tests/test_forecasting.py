@@ -77,6 +77,25 @@ def test_rollout_active_filter_and_errors(store):
         assert none.columns == R.FORECAST_COLUMNS and none.count() == 0
 
 
+class DayByDay:
+    """A forest that hides its arrays, so that the rollout applies it day by day."""
+
+    def __init__(self, forest):
+        self.features, self.predict = forest.features, forest.predict
+
+
+def test_rollout_in_one_stage_equals_day_by_day(store):
+    """The forest on arrays and as a projection: the same rows, gaps and stopped campaigns included."""
+    rows = store.filter("campaign_id <> 1 OR date < DATE '2024-03-20'")
+    model = fit_quantile_forest(rows.filter("attribution_mature"), config=SMALL)
+    fast = R.forecast_rollout(rows, model, n_days=14)
+    slow = R.forecast_rollout(rows, DayByDay(model), n_days=14)
+    assert fast.dtypes == slow.dtypes and fast.columns == R.FORECAST_COLUMNS
+    assert sorted(map(tuple, fast.collect()), key=repr) == sorted(map(tuple, slow.collect()), key=repr)
+    assert fast.count() == 3 * 14
+    assert R.forecast_rollout(rows, model, n_days=2, active_within_days=14).count() == 2 * 2
+
+
 @pytest.fixture(scope="module")
 def model(store):
     return fit_quantile_forest(store.filter("attribution_mature"), config=SMALL)
