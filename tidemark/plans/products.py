@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import METRIC_NAMES
@@ -12,7 +13,9 @@ from tidemark.operators import folds as O
 from tidemark.operators import harmonize as H
 from tidemark.operators import quality as Q
 from tidemark.operators import rollout as L
+from tidemark.operators.forest import fit_quantile_forest
 from tidemark.operators.quantiles import SegmentQuantiles, repair_quantiles
+from tidemark.operators.series import mature_rows
 from tidemark.plans import forecasts as P
 from tidemark.plans import tables as V
 from tidemark.plans.features import WINDOWED_SQL, feature_table
@@ -20,7 +23,7 @@ from tidemark.plans.ingest import FACT_DOUBLES, FACT_KEYS, raw_exports
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage, shared_folder
 from tidemark.sources import tables as T
-from tidemark.sources.platforms import CONTRACTS
+from tidemark.sources.platforms import CONTRACTS, DATE_PATTERNS
 
 # ---- sources and sinks ---------------------------------------------------------------------------------------
 
@@ -40,6 +43,23 @@ def csv_round_trip(spark, d):
     return H.harmonize_from_dir(spark, folder)
 
 
+@query("csv_dates_round_trip", FACT_KEYS, FACT_DOUBLES, source="facts", ctes=V.FACTS_SQL)
+def csv_dates_round_trip(spark, d):
+    """The exports with every accepted way of writing a day, row by row in turn, and without the row index."""
+    folder = _folder(spark)
+    for contract, df in zip(CONTRACTS.values(), raw_exports(spark, d)):
+        columns = []
+        for name, kind in contract.types.items():
+            value = F.col(name) if name in df.columns else F.lit(None).cast(kind)
+            if kind == "date" and name in df.columns:
+                day = F.col(name).cast("date")
+                written = F.array(*[F.date_format(day, pattern) for pattern in DATE_PATTERNS])
+                value = F.get(written, F.pmod(F.xxhash64(*df.columns), F.lit(len(DATE_PATTERNS))).cast("int"))
+            columns.append(value.alias(name))
+        df.select(*columns).write.option("header", True).csv(f"{folder}/{contract.filename}")
+    return H.harmonize_from_dir(spark, folder)
+
+
 @query("panel_round_trip", FACT_KEYS, FACT_DOUBLES, source="facts", ctes=V.FACTS_SQL)
 def panel_round_trip(spark, d):
     folder = _folder(spark)
@@ -47,6 +67,34 @@ def panel_round_trip(spark, d):
     return T.read_feature_store(spark, folder)
 
 
+@query("panel_order", ["platform", "n_rows", "n_out_of_order"], ctes=V.FACTS_SQL, source="""(
+    SELECT platform, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_out_of_order FROM facts GROUP BY platform)""")
+def panel_order(spark, d):
+    """Rows of the written panel that do not follow the row before them in their file by campaign and day."""
+    folder = _folder(spark)
+    T.write_panel(V.facts(spark, d), folder)
+    stored = spark.read.parquet(folder).select(
+        "platform", "campaign_id", "date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = Window.partitionBy("file").orderBy("at")
+    key = F.struct("campaign_id", "date")
+    late = F.coalesce(F.lag(key).over(before) >= key, F.lit(False))
+    return stored.withColumn("late", late).groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("late").alias("n_out_of_order"))
+
+
+@query("model_round_trip", ["platform", "n_rows", "n_different"], ctes=V.FACTS_SQL, source="""(
+    SELECT platform, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM facts
+    WHERE attribution_mature AND date > (SELECT max(date) FROM facts WHERE attribution_mature) - 30 GROUP BY platform)""")
+def model_round_trip(spark, d):
+    """The last 30 mature days scored by a forest and by what is loaded after it was saved: rows whose quantiles differ."""
+    folder, fs = _folder(spark), cut_lineage(feature_table(spark, d))
+    model = fit_quantile_forest(mature_rows(fs))
+    model.save(folder)
+    keys = ["date", "campaign_id"]
+    first, second = (B.score_recent(fs, m).select(*keys, "platform", F.array("p10", "p50", "p90").alias("q")) for m in (model, model.load(folder)))
+    both = first.join(second.withColumnRenamed("q", "again").drop("platform"), keys, "left")
+    return both.groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("q").eqNullSafe(F.col("again"))).alias("n_different"))
+
+
 @query("forecast_sinks", ["sink", "platform", "n_rows", "n_future"], ["p50", "revenue_attributed"], ctes=V.FORECAST_SQL, digits=1, source="""(
     SELECT sink, platform, count(*) AS n_rows, count(*) FILTER (is_future) AS n_future, sum(p50) AS p50,
       sum(revenue_attributed) AS revenue_attributed
