@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.errors import SourceError
 from tidemark.session import cut_lineage
 from tidemark.session import release as session_release
 from tidemark.sources import tables as T
@@ -78,3 +79,34 @@ def test_stored_tables_can_be_released(two_campaigns):
     stored = cut_lineage(two_campaigns)
     session_release(stored)
     assert not os.path.exists(stored.stored_at)
+
+
+def test_redelivery_touches_its_own_months_only(two_campaigns, spark, tmp_path):
+    path = str(tmp_path / "months")
+    T.redeliver(two_campaigns, path)  # begins the panel: January and February 2024
+
+    def files():
+        return {os.path.join(f, n): os.stat(os.path.join(f, n)).st_mtime_ns for f, _, ns in os.walk(path) for n in ns if n.endswith(".parquet")}
+
+    def rows():
+        back = T.read_months(spark, path)
+        assert set(back.columns) == set(two_campaigns.columns)
+        return sorted(map(tuple, back.select(*two_campaigns.columns).collect()), key=repr)
+
+    first, before = files(), rows()
+    assert before == sorted(map(tuple, two_campaigns.collect()), key=repr)
+    late = two_campaigns.where("date >= DATE '2024-02-02' AND platform = 'google'").withColumn("spend", F.lit(1.5))
+    for _ in range(2):  # again: nothing more changes
+        T.redeliver(late, path)
+        want = two_campaigns.where("NOT (date >= DATE '2024-02-02' AND platform = 'google')").unionByName(late)
+        assert rows() == sorted(map(tuple, want.collect()), key=repr)
+    untouched = [f for f in first if "stored_month=2024-01" in f or "platform=meta" in f]
+    assert len(untouched) == 3 and all(files()[f] == first[f] for f in untouched)
+    assert T.read_months(spark, path, since="2024-02").count() == 8
+    T.redeliver(late.where("false"), path)
+    assert rows() == sorted(map(tuple, want.collect()), key=repr)
+    with pytest.raises(SourceError):
+        T.redeliver(late.withColumn("date", F.lit(None).cast("date")), path)
+    # A campaign that a day no longer lists is gone from it.
+    T.redeliver(late.where("date = DATE '2024-02-02'").withColumn("campaign_id", F.lit("other")), path)
+    assert T.read_months(spark, path).where("platform = 'google' AND date = DATE '2024-02-02'").select("campaign_id").collect() == [("other",)]

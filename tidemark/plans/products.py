@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import in_last, last_date
 from tidemark.functions.metrics import METRIC_NAMES
 from tidemark.operators import backtest as B
 from tidemark.operators import folds as O
@@ -67,6 +68,18 @@ def panel_round_trip(spark, d):
     return T.read_feature_store(spark, folder)
 
 
+@query("panel_redelivery", FACT_KEYS, FACT_DOUBLES, source="facts", ctes=V.FACTS_SQL)
+def panel_redelivery(spark, d):
+    """A panel whose last 14 days were wrong and listed every campaign twice, after these days were delivered anew."""
+    folder, facts = _folder(spark), V.stored_facts(spark, d)
+    late = in_last("date", last_date(facts), 14)
+    wrong = facts.where(late).withColumn("revenue_attributed", F.col("revenue_attributed") * 2)
+    ghosts = wrong.withColumn("campaign_id", -1 - F.col("campaign_id"))
+    T.write_months(facts.where(~late).unionByName(wrong).unionByName(ghosts), folder)
+    T.redeliver(facts.where(late), folder)
+    return T.read_months(spark, folder)
+
+
 @query("panel_order", ["platform", "n_rows", "n_out_of_order"], ctes=V.FACTS_SQL, source="""(
     SELECT platform, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_out_of_order FROM facts GROUP BY platform)""")
 def panel_order(spark, d):
