@@ -56,8 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def release(*stored: DataFrame) -> None:
-    """Delete tables that ``cut_lineage`` wrote and nothing reads any more."""
+    """Delete tables that ``cut_lineage`` wrote and nothing reads any more, and shuffles that only they needed.
+
+    Spark removes a shuffle once the driver's collector has found that nothing refers to it, which an idle driver may
+    put off for half an hour; asking for it here keeps the disks of the executors from filling up meanwhile.
+    """
     for df in stored:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if stored:
+        stored[0].sparkSession._jvm.System.gc()
