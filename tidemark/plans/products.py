@@ -54,8 +54,8 @@ def csv_dates_round_trip(spark, d):
             value = F.col(name) if name in df.columns else F.lit(None).cast(kind)
             if kind == "date" and name in df.columns:
                 day = F.col(name).cast("date")
-                written = F.array(*[F.date_format(day, pattern) for pattern in DATE_PATTERNS])
-                value = F.get(written, F.pmod(F.xxhash64(*df.columns), F.lit(len(DATE_PATTERNS))).cast("int"))
+                turn = F.pmod(F.xxhash64(*df.columns), F.lit(len(DATE_PATTERNS)))
+                value = F.coalesce(*[F.when(turn == i, F.date_format(day, pattern)) for i, pattern in enumerate(DATE_PATTERNS)])
             columns.append(value.alias(name))
         df.select(*columns).write.option("header", True).csv(f"{folder}/{contract.filename}")
     return H.harmonize_from_dir(spark, folder)

@@ -94,9 +94,21 @@ def _text(name: str) -> Column:
     return F.when(~raw.isin(MISSING), raw)
 
 
+def _may_fit(raw: Column, pattern: str) -> Column:
+    """What every text of a pattern has: a failed attempt to parse costs far more than this look."""
+    if pattern == "yyyyMMdd":
+        return ~raw.rlike("[-/ ,:T]")
+    if pattern == "yyyy/MM/dd":
+        return F.instr(raw, "/") > 4
+    separators = "".join("%" + c if c in "-/ ,:T" else "" for c in pattern) + "%"
+    fits = raw.like(separators)
+    # The shorter patterns of two that begin alike are told by what the longer ones have besides.
+    return fits & ~raw.contains({"yyyy-MM-dd": ":", "d MMM yyyy": ","}[pattern]) if pattern in ("yyyy-MM-dd", "d MMM yyyy") else fits
+
+
 def parse_date(raw: Column) -> Column:
     """Strict ISO first, then the other patterns; NULL when none fits."""
-    return F.coalesce(*[F.try_to_timestamp(raw, F.lit(p)) for p in DATE_PATTERNS]).cast("date")
+    return F.coalesce(*[F.when(_may_fit(raw, p), F.try_to_timestamp(raw, F.lit(p))) for p in DATE_PATTERNS]).cast("date")
 
 
 def _typed(name: str, kind: str) -> Column:
