@@ -4,12 +4,21 @@ All window features share ONE specification (campaign, ordered by day), so Catal
 shuffle and one sort for the whole block.  A window group is one campaign's history, which the
 (campaign, day) grain bounds by the number of days covered (3 653 rows per decade) however many
 raw rows the campaign has: raw rows are pre-aggregated to days before they reach this module.
+
+A sliding frame of Spark walks over its whole window anew for every row and aggregate.  The store
+therefore takes its rows in window order, numbered by Spark, and adds them up in numpy for many rows at a
+time (``lagged_and_rolled``), in the order in which the frames would.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.dates import calendar_parts
 from tidemark.functions.exprs import ratio, require_columns
@@ -61,6 +70,76 @@ def rolling_features(df: DataFrame, spec=None, roles: Roles = PANEL, mode: str =
     return df.withColumns(new)
 
 
+def _over_rows(x: np.ndarray, ok: np.ndarray, at: np.ndarray, agg: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, whether there is one) of ``agg`` over the k rows before each; ``at`` numbers a campaign's rows from 1.
+
+    ``x`` and ``ok`` begin with rows that came before those of ``at``.
+    """
+    size, first = len(at), len(x) - len(at)
+    n, mean, off = np.zeros(size), np.zeros(size), np.zeros(size)
+    least, most = np.full(size, np.nan), np.full(size, -np.inf)
+    for j in range(k, 0, -1):
+        value, there = x[first - j:len(x) - j], ok[first - j:len(x) - j] & (at > j)
+        n += there
+        if agg == "mean":
+            mean += np.where(there, value, 0.0)
+        elif agg == "std":
+            step = np.where(there, value - mean, 0.0)
+            share = step / np.maximum(n, 1.0)
+            mean += share
+            off += step * (step - share)
+        elif agg == "min":
+            least = np.fmin(least, np.where(there, value, np.nan))
+        else:
+            most = np.maximum(most, np.where(there, value, -np.inf))
+    if agg == "mean":
+        return mean / np.maximum(n, 1.0), n > 0
+    if agg == "std":
+        return np.sqrt(off / np.maximum(n - 1.0, 1.0)), n > 1
+    return (least if agg == "min" else most), n > 0
+
+
+def lagged_and_rolled(df: DataFrame, lags=None, rolls=None, roles: Roles = PANEL) -> DataFrame:
+    """``rolling_features(lag_features(df))`` by rows: the same columns, each batch of rows in one go.
+
+    Spark numbers the rows of a campaign by day and hands them over in that order; a batch keeps as many rows
+    of the one before it as the longest window has.
+    """
+    lags, rolls = LAG_SPEC if lags is None else lags, ROLLING_SPEC if rolls is None else rolls
+    measures = list(dict.fromkeys([*lags, *rolls]))
+    require_columns(df, {*roles.grain, *measures})
+    if any(not isinstance(df.schema[c].dataType, T.DoubleType) for c in measures) or "_at" in df.columns:
+        return rolling_features(lag_features(df, lags, roles), rolls, roles)
+    names, new = df.columns, lag_columns(lags) + rolling_columns(rolls)
+    longest = max([n for ns in lags.values() for n in ns] + [k for aggs in rolls.values() for ks in aggs.values() for k in ks])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: (np.full(longest, np.nan), np.zeros(longest, bool)) for c in measures}
+        last = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("_at").to_numpy()
+            if not ((at == 1) | (at == np.concatenate([[last], at[:-1]]) + 1)).all():
+                raise ValueError("rows of a campaign did not arrive in the order of their days")
+            last, columns = at[-1], {}
+            for c in measures:
+                value = batch.column(c)
+                x = np.concatenate([held[c][0], value.to_numpy(zero_copy_only=False)])
+                ok = np.concatenate([held[c][1], value.is_valid().to_numpy(zero_copy_only=False)])
+                held[c] = x[-longest:], ok[-longest:]
+                for n in lags.get(c, ()):
+                    columns[f"{stem(c)}_lag_{n}"] = x[longest - n:len(x) - n], ok[longest - n:len(x) - n] & (at > n)
+                for agg, windows in rolls.get(c, {}).items():
+                    for k in windows:
+                        columns[f"{stem(c)}_roll_{agg}_{k}"] = _over_rows(x, ok, at, agg, k)
+            found = [pa.array(v, mask=~there) for v, there in (columns[c] for c in new)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *found], [*names, *new])
+
+    numbered = df.withColumn("_at", F.row_number().over(_by_day(roles, "rows")))
+    return numbered.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in new]]))
+
+
 def momentum(df: DataFrame, spec=None) -> DataFrame:
     """Yesterday relative to the trailing mean; NULL where that mean is zero."""
     spec = MOMENTUM_SPEC if spec is None else spec
@@ -125,8 +204,10 @@ def build_feature_store(
     derived = taxonomy is None  # has one row per campaign by construction
     taxonomy = parse_taxonomy(facts) if derived else taxonomy
     calendar = calendar_covering(facts) if calendar is None else calendar
-    fs = rolling_features(lag_features(facts, mode=mode), mode=mode)
-    fs = join_calendar(join_taxonomy(momentum(fs), taxonomy, unique=derived), calendar)
+    # The dimension joins before the windows: they keep the order of rows, but not the partitioning by campaign.
+    fs = join_taxonomy(facts, taxonomy, unique=derived)
+    fs = lagged_and_rolled(fs) if mode == "rows" else rolling_features(lag_features(fs, mode=mode), mode=mode)
+    fs = join_calendar(momentum(fs), calendar)
     fs = roas_lags(budget_features(calendar_features(fs)))
     parts = list(calendar_parts("date"))
     fs = fs.select(
