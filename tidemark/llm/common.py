@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, release, tune
 
-#: Rows of an Arrow batch.  Texts can be long, so a task holds few of them at a time.
-BATCH_ROWS = "512"
+#: Rows and bytes of an Arrow batch.  Texts can be long, so a task holds few of them at a time.
+BATCH_ROWS, BATCH_BYTES = "512", "64MB"
 #: ASCII white space, the only separator of words that the contracts know.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
