@@ -78,7 +78,7 @@ def plain(chunk: str) -> str | None:
 def chunks_of(raw: bytes) -> list[str]:
     """Lower-case chunks between white space; three or more single characters in a row become one chunk."""
     chunks = raw.decode().lower().split()
-    single = [i for i, c in enumerate(chunks) if len(c) == 1]
+    single = [i for i, n in enumerate(map(len, chunks)) if n == 1]
     runs, start = [], 0
     for at in range(1, len(single) + 1):
         if at == len(single) or single[at] != single[at - 1] + 1:
@@ -94,13 +94,23 @@ def folded(text: str) -> str:
     return REPEATED.sub(r"\1", text.translate(FOLDED))
 
 
+class Folds(dict):
+    """Chunks in folded form, worked out when first asked for."""
+
+    def __missing__(self, chunk: str) -> str:
+        fold = folded(chunk)
+        if len(self) < KEPT and len(chunk) <= 64:
+            self[chunk] = fold
+        return fold
+
+
 class Lexicon:
     """The features in folded form, and which stretches of neighbouring chunks may hold a word among them."""
 
     def __init__(self, features: Iterable[str]) -> None:
         self.features = {folded(f.strip()) for f in features}
         self.words = {folded(f.strip()) for f in features if f.endswith(" ")}
-        self.kept: dict[str, str] = {}
+        self.kept = Folds()
         self.beginnings = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
 
     def doubled(self, word: str, prefixes: tuple[int, ...]) -> bool:
@@ -112,19 +122,14 @@ class Lexicon:
 
     def stretches(self, chunks: list[str]) -> Iterator[str]:
         """Two or more neighbouring chunks, a space between them, that fold to a known word."""
-        parts = " ".join(chunks).split(" ")
-        begins, words, kept, short = self.beginnings, self.words, self.kept, []
-        for part in parts:
-            fold = kept.get(part)
-            if fold is None:
-                fold = folded(part)
-                if len(kept) < KEPT and len(part) <= 64:
-                    kept[part] = fold
-            short.append(fold)
+        line, parts = " ".join(chunks), chunks
+        if line.count(" ") != len(chunks) - 1:  # a chunk of single characters
+            parts = line.split(" ")
+        begins, words = self.beginnings, self.words
+        short = list(map(self.kept.__getitem__, parts))
         last = len(parts)
-        for at, begin in enumerate(short):
-            if begin not in begins:
-                continue
+        for at in [i for i, fold in enumerate(short) if fold in begins]:
+            begin = short[at]
             for end in range(at + 1, last):
                 more = short[end]
                 if more:
