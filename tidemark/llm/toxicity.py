@@ -340,20 +340,79 @@ def probability(coefficients: list[float], x: list[float]) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
+#: Kinds of characters, by code point; 255 until one is first met.
+SPACE, ALPHA, EDGE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
+KINDS = np.full(0x110000, UNKNOWN, np.uint8)
+#: Characters of texts that are looked at together, and cells of a table of trigrams.
+LETTERS_AT_ONCE, TABLE_CELLS = 1 << 20, 1 << 22
+
+
+def kinds_of(codes: np.ndarray) -> np.ndarray:
+    kinds = KINDS[codes]
+    if (kinds == UNKNOWN).any():
+        for code in np.unique(codes[kinds == UNKNOWN]).tolist():
+            c = chr(code)
+            KINDS[code] = SPACE if c.isspace() else ALPHA if c.isalpha() else EDGE if c in EDGES else OTHER
+        kinds = KINDS[codes]
+    return kinds
+
+
+def count_plain(text: str, grams: Counter) -> None:
+    """Add the trigrams of the ``plain`` chunks of a lower-case text, repeats included; a space stands twice before a word and once after it."""
+    if len(text) > 2 * LETTERS_AT_ONCE:  # one long chunk: in less memory
+        if word := plain(text):
+            line = f"  {word} "
+            grams.update(line[i:i + 3] for i in range(len(word) + 1))
+        return
+    # Characters as numbers, white space at both ends, so that every word has neighbours.
+    codes = np.frombuffer(f"  {text}  ".encode("utf-32-le"), np.uint32)
+    kinds = kinds_of(codes)
+    alpha, filled = kinds == ALPHA, kinds != SPACE
+    starts = np.flatnonzero(filled[1:] & ~filled[:-1]) + 1
+    if not len(starts):
+        return
+    # A chunk is plain if its letters stand in one run, nothing but edges around them, and none three times in a row.
+    faults = np.zeros(len(codes), np.int32)
+    faults[1:] = alpha[1:] & ~alpha[:-1]
+    faults[kinds == OTHER] = 2
+    same = codes[1:] == codes[:-1]
+    faults[2:][alpha[2:] & same[1:] & same[:-1]] += 2
+    good = np.add.reduceat(faults, starts) == 1
+    # From the first chunk on, every character belongs to the chunk that begins at it or before it.
+    letter = alpha[starts[0]:] & np.repeat(good, np.diff(np.append(starts, len(codes))))
+    codes = codes[starts[0]:]
+    alphabet = np.flatnonzero(np.bincount(codes[letter])) if letter.any() else np.zeros(0, np.int64)
+    if not len(alphabet):
+        return
+    names, k = [" ", *map(chr, alphabet.tolist())], len(alphabet) + 1
+    number = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    number[alphabet] = np.arange(1, k)
+    at = np.zeros(len(codes) + 2, np.int64)
+    at[2:][letter] = number[codes[letter]]
+    third, second = at[2:], at[1:-1]
+    wanted = (third > 0) | (second > 0)
+    first = np.where(second > 0, at[:-2], 0)
+    cells = ((first * k + second) * k + third)[wanted]
+    if k ** 3 <= TABLE_CELLS:
+        counts = np.bincount(cells, minlength=k ** 3)
+        found = np.flatnonzero(counts)
+        counts = counts[found]
+    else:
+        found, counts = np.unique(cells, return_counts=True)
+    for cell, n in zip(found.tolist(), counts.tolist()):
+        grams[names[cell // (k * k)] + names[cell // k % k] + names[cell % k]] += n
+
+
 def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(gram, n): character trigrams of the plain words of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter = Counter()
         grams: Counter = Counter()
+        waiting: list[str] = []
 
         def empty_out() -> None:
-            for chunk, n in chunks.items():
-                if word := plain(chunk):
-                    line = f"  {word} "
-                    for i in range(len(word) + 1):
-                        grams[line[i:i + 3]] += n
-            chunks.clear()
+            count_plain("\n".join(waiting), grams)
+            waiting.clear()
 
         def rows() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
@@ -361,19 +420,38 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
             return batch
 
         for _, c in rows_of(batches):
+            letters = 0
             for raw in c["raw"]:
-                chunks.update(raw.decode().lower().split())
-                if len(chunks) > COUNTED:
-                    empty_out()
+                for piece in pieces(raw.decode().lower()):
+                    if letters + len(piece) > LETTERS_AT_ONCE:
+                        empty_out()
+                        letters = 0
+                    waiting.append(piece)
+                    letters += len(piece) + 1
+            empty_out()
             if len(grams) > COUNTED:
                 yield rows()
-        empty_out()
         yield rows()
 
     counted = docs.select(text_bytes(text)).mapInArrow(run, "gram string, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text as it is, or, if it is long, its chunks in pieces of ``LETTERS_AT_ONCE`` characters at most; a longer chunk is a piece."""
+    if len(text) <= LETTERS_AT_ONCE:
+        yield text
+        return
+    held, letters = [], 0
+    for chunk in text.split():
+        if held and letters + len(chunk) > LETTERS_AT_ONCE:
+            yield " ".join(held)
+            held, letters = [], 0
+        held.append(chunk)
+        letters += len(chunk) + 1
+    yield " ".join(held)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """(raw, toxic): about ``limit`` labelled texts that are not held out, copies once.
 
