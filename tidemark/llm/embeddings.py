@@ -43,6 +43,9 @@ class Settings:
 
 
 SETTINGS = Settings()
+#: Bytes of vectors that are put into leaves together.
+GATHERED = 1 << 24
+KEYS = ["bytes", "leaf", "i", "j"]
 
 
 @dataclass
@@ -141,6 +144,19 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str, kind: str) -> DataF
     return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), run(numbers).alias("raw"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``GATHERED`` bytes of a column, so that what is done once per batch is done seldom."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def leaved(nodes: DataFrame, forests: dict[int, list[Tree]], kind: str) -> DataFrame:
     """(bytes, leaf, node, weight, raw, leaves): a row for each leaf that a vector is in; ``leaves`` are all of them, ascending.
 
@@ -150,7 +166,7 @@ def leaved(nodes: DataFrame, forests: dict[int, list[Tree]], kind: str) -> DataF
     names = ["bytes", "leaf", "node", "weight", "raw", "leaves"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for mixed in batches:
+        for mixed in gathered(batches, "raw"):
             sizes = np.array([len(raw) for raw in mixed.column(2).to_pylist()], np.int64)
             for size in np.unique(sizes):
                 batch = mixed.filter(pa.array(sizes == size))
@@ -190,44 +206,81 @@ def grouped(rows: DataFrame, block: int) -> DataFrame:
     return joined.withColumn("p", F.explode(pairs)).select("bytes", "leaf", "p.i", "p.j", "b", "node", "weight", "raw", "leaves")
 
 
-def compare(group: pd.DataFrame, cosine: float, kind: str) -> pd.DataFrame:
-    """For each vector of a group: the links first met here (``n``), and the smallest vector that it leads to.
+def compared(rows: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """(node, n, to) of all groups of ``grouped``.
+
+    Groups are small and many: the rows of a partition are sorted by group, and a task cuts them apart itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in KEYS], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            found = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                now = tuple(keys[lo].tolist())
+                if held and now != key:
+                    found.append(compare(pa.Table.from_batches(held), *key[1:], cosine, kind))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                key = now
+            columns = [np.concatenate(x) for x in zip(*found)] if found else []
+            if len(columns) and len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "n", "to"])
+        if held:
+            last = compare(pa.Table.from_batches(held), *key[1:], cosine, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["node", "n", "to"])
+
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, "node long, n long, to long")
+
+
+def compare(group: pa.Table, leaf: int, i: int, j: int, cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector of a group: its number, the links first met here, and the smallest vector that it leads to.
 
     Pairs inside one block belong to the group (i, i); a pair of blocks compares across only.
     """
-    leaf, i, j = (int(group[c].iloc[0]) for c in ("leaf", "i", "j"))
-    units, nodes = units_of(group["raw"].tolist(), kind), group["node"].to_numpy()
+    nodes = group["node"].to_numpy()
+    units = units_of(group["raw"].to_pylist(), kind)
     near = units @ units.T >= cosine
-    np.fill_diagonal(near, False)
     if i != j:
-        near &= group["b"].to_numpy()[:, None] != group["b"].to_numpy()[None, :]
-    a, b = np.nonzero(np.triu(near))
+        block = group["b"].to_numpy()
+        near &= block[:, None] != block[None, :]
+    a, b = np.divmod(np.flatnonzero(near), len(nodes))
+    a, b = a[a < b], b[a < b]
     if not len(a):
-        return pd.DataFrame({"node": [], "n": [], "to": []}).astype("int64")
+        return nodes[:0], nodes[:0], nodes[:0]
     # A link belongs to the first leaf that both vectors are in.
-    lists = group["leaves"].tolist()
-    earlier = {leaf_no: k for k, leaf_no in enumerate(sorted({x for li in np.unique(np.concatenate([a, b])) for x in lists[li] if x < leaf}))}
-    seen = np.zeros(len(a), bool)
-    if earlier:
-        member = np.zeros((len(earlier), len(nodes)), bool)
-        for row, li in enumerate(lists):
-            for x in li:
-                if x in earlier:
-                    member[earlier[x], row] = True
-        for k in range(len(earlier)):
-            seen |= member[k, a] & member[k, b]
+    lists = group["leaves"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(nodes)), lists.value_lengths().to_numpy())
+    ends = np.zeros(len(nodes), bool)
+    ends[a] = ends[b] = True
+    earlier = (flat < leaf) & ends[owner]
+    names, number = np.unique(flat[earlier], return_inverse=True)
+    member = np.zeros((len(nodes), len(names)), bool)
+    member[owner[earlier], number] = True
+    bits, fresh = np.packbits(member, axis=1), np.ones(len(a), bool)
+    step = max(1, (1 << 24) // max(1, bits.shape[1]))
+    for lo in range(0, len(a), step):
+        fresh[lo:lo + step] = ~(bits[a[lo:lo + step]] & bits[b[lo:lo + step]]).any(axis=1)
     weight = group["weight"].to_numpy()
     n = np.zeros(len(nodes), np.int64)
-    np.add.at(n, a[~seen], weight[b[~seen]])
-    np.add.at(n, b[~seen], weight[a[~seen]])
-    label = nodes
+    np.add.at(n, a[fresh], weight[b[fresh]])
+    np.add.at(n, b[fresh], weight[a[fresh]])
+    label = nodes.copy()
     while True:
-        lower = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (lower == label).all():
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        if (label == before).all():
             break
-        label = lower
-    found = pd.DataFrame({"node": nodes, "n": n, "to": label})
-    return found[(found["n"] > 0) | (found["to"] != found["node"])]
+    told = (n > 0) | (label != nodes)
+    return nodes[told], n[told], label[told]
 
 
 def fitted(nodes: DataFrame, cosine: float, settings: Settings, kind: str) -> dict[int, list[Tree]]:
@@ -266,8 +319,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                         .withColumn("node", F.coalesce("least", F.xxhash64("raw"))))
     forests = fitted(nodes, cosine, settings, kind)
     placed = leaved(nodes, forests, kind)
-    met = cut_lineage(grouped(placed, settings.block).groupBy("bytes", "leaf", "i", "j").applyInPandas(
-        lambda g: compare(g, cosine, kind), "node long, n long, to long"))
+    met = cut_lineage(compared(grouped(placed, settings.block), cosine, kind))
     links = met.groupBy("node").agg(F.sum("n").alias("n"))
     comps = components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))
     named = nodes.join(links, "node", "left").join(comps, "node", "left").select(
