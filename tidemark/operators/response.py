@@ -4,16 +4,19 @@ For a fixed (k, n) the best ceiling v is a ratio of two sums, so the fit is a se
 parameters only: a coarse log grid, then shrinking grids around the incumbent.  Statistics, fallback
 and diagnostics are JVM aggregates.  The search itself evaluates hundreds of candidates per row,
 which Spark expressions would do one exploded row at a time; it runs as vectorised numpy per
-campaign instead, after ONE shuffle by campaign for all rounds.  A campaign's rows are its days, so
-a group is bounded by the length of the history (3 653 rows per decade), not by the data volume.
+campaign instead, after ONE shuffle by campaign for all rounds: the rows of a partition are sorted by
+campaign, and a task cuts them apart itself.  A campaign's rows are its days, so a group is bounded
+by the length of the history (3 653 rows per decade), not by the data volume.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +71,8 @@ def fit_statistics(df: DataFrame, roles: Roles = PANEL) -> DataFrame:
     )
 
 
-def _grid_search(id_name: str, refinements: int):
-    """Best (relative k, n, v) of one campaign; nothing for campaigns that cannot be fitted.
+def _grid_search(refinements: int):
+    """Best (relative k, n, v) and its error for one campaign's spend and revenue; None if they cannot be fitted.
 
     Everything it needs is bound here, so that it travels to the executors by value.
     """
@@ -88,10 +91,9 @@ def _grid_search(id_name: str, refinements: int):
         i = int(np.argmin(sse))  # candidates ascend in (k, n): ties go to the smallest
         return kr[i], n[i], v[i], sse[i]
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        s, r = rows["s"].to_numpy(float), rows["r"].to_numpy(float)
+    def search(s, r):
         if len(s) < min_points or s.std() < s.mean() * min_cv:
-            return pd.DataFrame({id_name: [], "kr": [], "n": [], "v_max": [], "sse": []})
+            return None
         top = max(r.max(), 1.0)
         with np.errstate(over="ignore", divide="ignore"):
             best = best_of(s, r, top, k_grid, n_grid)
@@ -103,21 +105,53 @@ def _grid_search(id_name: str, refinements: int):
                     np.clip(best[1] * np.exp(around_n * dn), n_lo, n_hi),
                 )
                 dk, dn = dk * shrink, dn * shrink
-        return pd.DataFrame({id_name: [rows[id_name].iloc[0]], "kr": [best[0]], "n": [best[1]],
-                             "v_max": [best[2]], "sse": [best[3]]})
+        return best
 
     return search
 
 
+def _best_fits(rows: DataFrame, refinements: int) -> DataFrame:
+    """(campaign_id, kr, n, v_max, sse) of every campaign of (campaign_id, s, r) that can be fitted."""
+    search, measures = _grid_search(refinements), ["kr", "n", "v_max", "sse"]
+
+    def found(ident: pa.Array, pieces: list) -> list:
+        best = search(*(np.concatenate(c) for c in zip(*pieces)))
+        return [] if best is None else [(ident, best)]
+
+    def packed(fits: list) -> Iterator[pa.RecordBatch]:
+        if fits:
+            idents, best = zip(*fits)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(idents), *[pa.array(c, pa.float64()) for c in zip(*best)]], ["campaign_id", *measures])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ident, pieces = None, []  # the campaign that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, r = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "r"))
+            runs = pc.run_end_encode(batch.column("campaign_id"))
+            fits, lo = [], 0
+            for i, hi in enumerate(runs.run_ends.to_pylist()):
+                now = runs.values.slice(i, 1)
+                if pieces and not now.equals(ident):
+                    fits += found(ident, pieces)
+                    pieces = []
+                ident = now
+                pieces.append((s[lo:hi], r[lo:hi]))
+                lo = hi
+            yield from packed(fits)
+        if pieces:
+            yield from packed(found(ident, pieces))
+
+    id_type = rows.schema["campaign_id"].dataType.simpleString()
+    return rows.repartition("campaign_id").sortWithinPartitions("campaign_id").mapInArrow(
+        run, f"campaign_id {id_type}, {', '.join(f'{c} double' for c in measures)}")
+
+
 def fit_hill(df: DataFrame, roles: Roles = PANEL, refinements: int = REFINEMENTS) -> DataFrame:
     """Curve parameters and diagnostics per campaign; ``refinements=0`` is the fixed grid alone."""
-    rows = _fit_rows(df, roles).filter("s > 0")
-    id_type = rows.schema["campaign_id"].dataType.simpleString()
-    best = rows.groupBy("campaign_id").applyInPandas(
-        _grid_search("campaign_id", refinements),
-        f"campaign_id {id_type}, kr double, n double, v_max double, sse double",
-    )
-    return finish_fit(fit_statistics(df, roles), best)
+    return finish_fit(fit_statistics(df, roles), _best_fits(_fit_rows(df, roles).filter("s > 0"), refinements))
 
 
 def finish_fit(stats: DataFrame, best: DataFrame) -> DataFrame:
