@@ -29,6 +29,7 @@ MAX_SHIFT = 0.40           # fixed value: default bound, +-40 % of current spend
 PRICES_PER_ROUND = 33
 MAX_ROUNDS = 12
 BISECTIONS = 60
+PRICED_ROWS = 256          # campaigns that meet all prices of a round at once: their spends stay in the cache
 SUM_BUCKETS = 4096
 TOLERANCE = 1e-9           # of the budget
 OPTIMAL_GAP = 1e-6         # of the revenue: what still counts as optimal
@@ -80,9 +81,11 @@ def _chooser():
             def revenue(x):
                 return np.where(x > 0, v * share(x), 0.0)
 
+            at_zero, steep = np.where(n < 1, np.inf, np.where(n > 1, 0.0, v / k)), v * n
+
             def slope(x):
-                at_zero = np.where(n < 1, np.inf, np.where(n > 1, 0.0, v / k))
-                return np.where(x > 0, v * n * share(x) * (1.0 - share(x)) / x, at_zero)
+                s = share(x)
+                return np.where(x > 0, steep * s * (1.0 - s) / x, at_zero)
 
             # Right of the inflection the slope falls, so the price is met at most once there.
             knee = np.where(n > 1, k * np.maximum((n - 1.0) / (n + 1.0), 0.0) ** (1.0 / n), 0.0)
@@ -115,12 +118,13 @@ def _knee(k: float, n: float) -> float:
 
 def _totals(rows: DataFrame, prices: list[float]) -> dict[float, float]:
     """Total chosen spend per price.  A batch of campaigns meets all prices at once and leaves one sum each."""
-    choose, grid = _chooser(), np.array(prices, float)
+    choose, grid, block = _chooser(), np.array(prices, float), PRICED_ROWS
 
     def sums(batches):
         for b in batches:
             columns = [b[c].to_numpy(float)[:, None] for c in ("v_max", "k", "n", "low", "high")]
-            yield pd.DataFrame({"price": grid, "x": choose(*columns, grid[None, :]).sum(axis=0)})
+            spend = [choose(*[c[lo:lo + block] for c in columns], grid[None, :]) for lo in range(0, len(b), block)]
+            yield pd.DataFrame({"price": grid, "x": np.concatenate(spend).sum(axis=0) if spend else 0.0})
 
     out = rows.select("v_max", "k", "n", "low", "high").mapInPandas(sums, "price double, x double")
     return {r["price"]: r["x"] for r in out.groupBy("price").agg(F.sum("x").alias("x")).collect()}
@@ -188,7 +192,8 @@ def _search(rows: DataFrame, budget: float) -> tuple[DataFrame, int, float]:
     """Allocation, rounds, and the revenue that no allocation can pass: what all campaigns earn above the
     price at their best, and the price of the budget."""
     cheap, dear, rounds = _bracket(rows, budget)
-    filled = _fill(rows, cheap, dear, budget)
+    # The bound, the split campaign, the worth and the table all read it.
+    filled = cut_lineage(_fill(rows, cheap, dear, budget))
     bound = filled.agg(F.sum(C.hill("_dn") - F.lit(dear) * F.col("_dn"))).first()[0] + dear * budget
     return filled, rounds, bound
 

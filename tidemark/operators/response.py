@@ -42,6 +42,7 @@ REASON_FLAT = "linear fallback: spend variance too low"
 COARSE_K = [round(10 ** (-3 + i * 5.301 / 11), 6) for i in range(11)] + [K_BOUNDS[1]]
 COARSE_N = [0.3, 0.5, 0.75, 1.0, 1.35, 1.8, 2.4, 3.2, 4.4, 6.0]
 REFINE_STEPS, REFINEMENTS, SHRINK = 7, 10, 0.5
+FIT_BLOCK = 256            # rows of a campaign that meet all candidates at once
 
 
 def _fit_rows(df: DataFrame, roles: Roles) -> DataFrame:
@@ -76,33 +77,40 @@ def _grid_search(refinements: int):
 
     Everything it needs is bound here, so that it travels to the executors by value.
     """
-    k_grid, n_grid = np.repeat(COARSE_K, len(COARSE_N)), np.tile(COARSE_N, len(COARSE_K))
+    k_grid, n_grid = np.array(COARSE_K), np.array(COARSE_N)
     k_step, n_step = math.log(K_BOUNDS[1] / K_BOUNDS[0]) / (len(COARSE_K) - 1), 0.3
     (k_lo, k_hi), (n_lo, n_hi), (v_lo, v_hi) = K_BOUNDS, N_BOUNDS, V_BOUNDS
     min_points, min_cv, shrink = MIN_POINTS, MIN_SPEND_CV, SHRINK
-    offsets = np.linspace(-1.0, 1.0, REFINE_STEPS)
-    around_k, around_n = np.repeat(offsets, REFINE_STEPS), np.tile(offsets, REFINE_STEPS)
-
-    def best_of(s, r, top, kr, n):
-        h = 1.0 / (1.0 + (s[:, None] / (kr * s.max())) ** -n)
-        hh, rh = (h * h).sum(axis=0), r @ h
+    offsets, block = np.linspace(-1.0, 1.0, REFINE_STEPS), FIT_BLOCK
+
+    def best_of(share, r, top, kr, n):
+        # (share / k) ** -n is share ** -n times k ** n: one power per row and n serves every k.
+        scale = kr[:, None] ** n
+        hh, rh = np.zeros(scale.shape), np.zeros(scale.shape)
+        for lo in range(0, len(r), block):
+            h = scale[:, :, None] * share[lo:lo + block] ** -n[:, None]
+            h += 1.0
+            np.divide(1.0, h, out=h)
+            hh += np.einsum("kni,kni->kn", h, h)
+            rh += h @ r[lo:lo + block]
         v = np.clip(np.divide(rh, hh, out=np.zeros_like(rh), where=hh > 0), v_lo * top, v_hi * top)
         sse = (r * r).sum() - 2.0 * v * rh + v * v * hh
-        i = int(np.argmin(sse))  # candidates ascend in (k, n): ties go to the smallest
-        return kr[i], n[i], v[i], sse[i]
+        i, j = np.unravel_index(int(np.argmin(sse)), sse.shape)  # candidates ascend in (k, n): ties go to the smallest
+        return kr[i], n[j], v[i, j], sse[i, j]
 
     def search(s, r):
         if len(s) < min_points or s.std() < s.mean() * min_cv:
             return None
         top = max(r.max(), 1.0)
         with np.errstate(over="ignore", divide="ignore"):
-            best = best_of(s, r, top, k_grid, n_grid)
+            share = s / s.max()
+            best = best_of(share, r, top, k_grid, n_grid)
             dk, dn = k_step, n_step
             for _ in range(refinements):
                 best = best_of(
-                    s, r, top,
-                    np.clip(best[0] * np.exp(around_k * dk), k_lo, k_hi),
-                    np.clip(best[1] * np.exp(around_n * dn), n_lo, n_hi),
+                    share, r, top,
+                    np.clip(best[0] * np.exp(offsets * dk), k_lo, k_hi),
+                    np.clip(best[1] * np.exp(offsets * dn), n_lo, n_hi),
                 )
                 dk, dn = dk * shrink, dn * shrink
         return best
