@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.functions.exprs import in_last, last_date
 from tidemark.functions.metrics import METRIC_NAMES
 from tidemark.operators import allocate as A
 from tidemark.operators import backtest as B
@@ -88,12 +89,22 @@ def recommendations(spark, d):
     return N.recommendations(_allocation(spark, d)[1].table)
 
 
+#: Days before the last one that any part of the document looks at: two periods of seven, and the risks' thirty.
+_FORECAST_DAYS, _FACT_DAYS = 14, 30
+
+
+def _context_windows(rows, fc):
+    """Forecasts and facts that the document looks at, cut once instead of by each of its dozen readers."""
+    end = last_date(rows)
+    return fc.filter(in_last("date", end, _FORECAST_DAYS)), rows.filter(in_last("date", end, _FACT_DAYS))
+
+
 @query("context_json", ["context"])
 def context_json(spark, d):
     """The whole portfolio as one document."""
     rows = V.stored_facts(spark, d)
-    fc = cut_lineage(V.forecast(spark, d, rows))
+    fc, recent = (cut_lineage(t) for t in _context_windows(rows, V.forecast(spark, d, rows)))
     curves, allocation = _allocation(spark, d, rows)
     summary = X.context_summary(fc, curves, allocation.summary)
-    return X.context_json(summary, I.all_insights(fc, rows), K.all_risks(rows, curves, fc),
+    return X.context_json(summary, I.all_insights(fc, recent), K.all_risks(recent, curves, fc),
                           N.recommendations(allocation.table), X.campaign_buckets(curves))
