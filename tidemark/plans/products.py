@@ -87,8 +87,9 @@ def panel_order(spark, d):
     folder = _folder(spark)
     T.write_panel(V.facts(spark, d), folder)
     stored = spark.read.parquet(folder).select(
-        "platform", "campaign_id", "date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    before = Window.partitionBy("file").orderBy("at")
+        "platform", "campaign_id", "date", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    # The name alone names a file of a platform; whole paths would make up most of what a task sorts.
+    before = Window.partitionBy("platform", "file").orderBy("at")
     key = F.struct("campaign_id", "date")
     late = F.coalesce(F.lag(key).over(before) >= key, F.lit(False))
     return stored.withColumn("late", late).groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("late").alias("n_out_of_order"))
