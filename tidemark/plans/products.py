@@ -14,13 +14,12 @@ from tidemark.operators import folds as O
 from tidemark.operators import harmonize as H
 from tidemark.operators import quality as Q
 from tidemark.operators import rollout as L
-from tidemark.operators.forest import fit_quantile_forest
 from tidemark.operators.quantiles import SegmentQuantiles, repair_quantiles
-from tidemark.operators.series import mature_rows
 from tidemark.plans import forecasts as P
 from tidemark.plans import tables as V
 from tidemark.plans.features import WINDOWED_SQL, feature_table
 from tidemark.plans.ingest import FACT_DOUBLES, FACT_KEYS, raw_exports
+from tidemark.plans.models import forest, recent_rows
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage, shared_folder
 from tidemark.sources import tables as T
@@ -100,11 +99,10 @@ def panel_order(spark, d):
     WHERE attribution_mature AND date > (SELECT max(date) FROM facts WHERE attribution_mature) - 30 GROUP BY platform)""")
 def model_round_trip(spark, d):
     """The last 30 mature days scored by a forest and by what is loaded after it was saved: rows whose quantiles differ."""
-    folder, fs = _folder(spark), cut_lineage(feature_table(spark, d))
-    model = fit_quantile_forest(mature_rows(fs))
+    folder, model, recent = _folder(spark), forest(spark, d), recent_rows(spark, d)
     model.save(folder)
     keys = ["date", "campaign_id"]
-    first, second = (B.score_recent(fs, m).select(*keys, "platform", F.array("p10", "p50", "p90").alias("q")) for m in (model, model.load(folder)))
+    first, second = (B.score_recent(recent, m).select(*keys, "platform", F.array("p10", "p50", "p90").alias("q")) for m in (model, model.load(folder)))
     both = first.join(second.withColumnRenamed("q", "again").drop("platform"), keys, "left")
     return both.groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("q").eqNullSafe(F.col("again"))).alias("n_different"))
 
